@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language_id, secrets, sharding
+from strandline.llm import decontaminate, language_id, near_join, secrets, sharding
 from strandline.llm.common import held_out
 
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -34,5 +38,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, bench))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_secret_scan, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op5_secret_scan, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {}
