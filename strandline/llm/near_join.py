@@ -148,12 +148,16 @@ def _scan_sets(docs: DataFrame, shared, order: int, width: int, percent: int, al
     return docs.select("text").mapInArrow(scan, "node long, n long, tokens array<long>, hashes binary").dropDuplicates(["node"])
 
 
-def _components(prefixes: DataFrame, cell: str | None) -> DataFrame:
-    """(node, root): which sets hang together by prefix tokens, within each cell of the orders before."""
+def _components(prefixes: DataFrame, cell: str | None, percent: int) -> DataFrame:
+    """(node, root): which sets hang together by prefix tokens, within each cell of the orders before.
+
+    The sets of a token stand in a chain by size, which breaks where the sizes of two neighbours alone rule out a link.
+    """
     keys = [cell, "token"] if cell else ["token"]
-    rows = prefixes.select(*([cell] if cell else []), "node", F.explode("tokens").alias("token"))
-    stars = rows.withColumn("least", F.min("node").over(Window.partitionBy(*keys))).filter("node != least")
-    return connected_components(stars.select(F.col("node").alias("a"), F.col("least").alias("b")), "near-cells")
+    rows = prefixes.select(*([cell] if cell else []), "node", "n", F.explode("tokens").alias("token"))
+    chain = Window.partitionBy(*keys).orderBy("n", "node")
+    rows = rows.select("node", "n", F.lag("node").over(chain).alias("b"), F.lag("n").over(chain).alias("m"))
+    return connected_components(rows.filter(100 * F.col("m") >= percent * F.col("n")).select(F.col("node").alias("a"), "b"), "near-cells")
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -260,7 +264,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             prefixes = prefixes.join(cells, "node")
         if last:
             sets = prefixes = materialize(prefixes, "near-sets")
-        cells = materialize(_components(prefixes, "cell" if cells is not None else None).withColumnRenamed("root", "cell"), "near-cells")
+        cells = materialize(_components(prefixes, "cell" if cells is not None else None, percent).withColumnRenamed("root", "cell"), "near-cells")
         if not last:
             alive = sc.broadcast(_bitmap(cells))
     sets = sets.drop("cell", "tokens").join(cells, "node").join(members.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "node")
