@@ -21,8 +21,8 @@ from strandline.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, PERCENT = 4, 85
-#: Tokens that the list of frequent tokens may hold; the list is broadcast, 16 bytes for each.
-FREQUENT = 1_000_000
+#: Tokens that the list of frequent tokens may hold; the list is broadcast, 9 bytes for each.
+FREQUENT = 4_000_000
 #: Shingles that are counted together in a task when it looks for repeated tokens.
 COUNTED = 4_000_000
 #: Documents of a block; cells beyond that are verified block against block.
@@ -89,63 +89,68 @@ def _members(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _frequent(repeats: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that repeat most, sorted, and their counts; as many whole classes of counts as ``most`` tokens allow."""
-    totals = repeats.groupBy("token").agg(F.sum("times").alias("times"))
-    classes = totals.groupBy(F.floor(4 * F.log2("times")).alias("c")).count().orderBy(F.desc("c")).collect()
+    """Tokens that repeat most, sorted, and classes of their counts; as many whole classes as ``most`` tokens allow."""
+    totals = repeats.groupBy("token").agg(F.least(F.lit(250), F.floor(4 * F.log2(F.sum("times")))).cast("short").alias("class"))
+    totals = materialize(totals, "near-frequent")
     least, held = None, 0
-    for r in classes:
+    for r in totals.groupBy("class").count().orderBy(F.desc("class")).collect():
         held += r["count"]
         if held > most:
             break
-        least = r.c
+        least = r["class"]
     if least is None:
-        return np.zeros(0, W.U), np.zeros(0, np.int64)
-    rows = totals.filter(F.floor(4 * F.log2("times")) >= least).toArrow()
-    tokens, times = rows["token"].to_numpy().view(W.U), rows["times"].to_numpy()
+        return np.zeros(0, W.U), np.zeros(0, np.uint8)
+    rows = totals.filter(F.col("class") >= least).toArrow()
+    tokens, classes = rows["token"].to_numpy().view(W.U), rows["class"].to_numpy().astype(np.uint8)
     order = np.argsort(tokens)
-    return tokens[order], times[order]
+    return tokens[order], classes[order]
 
 
-def _rank(own: np.ndarray, tokens: np.ndarray, times: np.ndarray, order: int) -> np.ndarray:
+def _rank(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     """Sort keys of tokens under one of the global orders: rarest first by classes of counts, ties by a permutation."""
     rank = W.mix(own ^ W.U(_SEEDS[order])) >> W.U(8)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
         known = np.flatnonzero(tokens[at] == own)
         if len(known):
-            steps = 4 if order == 0 else 1
-            rank[known] |= (1 + np.minimum(250, steps * np.log2(times[at[known]]))).astype(W.U) << W.U(56)
+            rank[known] |= (1 + classes[at[known]].astype(W.U) // W.U(1 if order == 0 else 4)) << W.U(56)
     return rank
 
 
-def prefix(own: np.ndarray, tokens: np.ndarray, times: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+def prefix(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
     """The tokens of which a similar set must share one."""
     n = len(own)
     size = n - (percent * n + 99) // 100 + 1
-    return own if size >= n else own[np.argpartition(_rank(own, tokens, times, order), size - 1)[:size]]
+    return own if size >= n else own[np.argpartition(_rank(own, tokens, classes, order), size - 1)[:size]]
 
 
-def _scan_sets(docs: DataFrame, shared, order: int, width: int, percent: int, alive, whole_sets: bool) -> DataFrame:
-    """(node, n, tokens, hashes): prefix tokens under ``order``, and the whole sets if asked for, of texts still alive."""
+def _scan(docs: DataFrame, width: int, alive, field: str, value) -> DataFrame:
+    """(node, n, ``field``) of the distinct sets that are still alive; ``value`` makes the field from a set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, times = shared.value
-        bits = alive.value if alive is not None else None
+        bits, make = alive.value if alive is not None else None, value()
         for batch in batches:
             rows = []
             for _, own in text_sets(batch.column(0), width):
-                if not len(own):
-                    continue
-                node = node_of(own)
-                if bits is None or bits[node % SURVIVOR_BITS]:
-                    rows.append((node, len(own), prefix(own, tokens, times, order, percent).view(np.int64), own.tobytes() if whole_sets else None))
+                if len(own) and (bits is None or bits[(node := node_of(own)) % SURVIVOR_BITS]):
+                    rows.append((node_of(own) if bits is None else node, len(own), make(own)))
             if rows:
-                node, n, first, sets = zip(*rows, strict=True)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first)))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists, pa.array(sets, pa.binary())], names=["node", "n", "tokens", "hashes"])
+                node, n, values = zip(*rows, strict=True)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists], names=["node", "n", field])
 
-    return docs.select("text").mapInArrow(scan, "node long, n long, tokens array<long>, hashes binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(scan, f"node long, n long, {field} array<long>").dropDuplicates(["node"])
+
+
+def _prefixes(docs: DataFrame, width: int, alive, shared, order: int, percent: int) -> DataFrame:
+    """(node, n, tokens) with the prefix tokens under one order."""
+
+    def value():
+        tokens, classes = shared.value
+        return lambda own: prefix(own, tokens, classes, order, percent)
+
+    return _scan(docs, width, alive, "tokens", value)
 
 
 def _components(prefixes: DataFrame, cell: str | None, percent: int) -> DataFrame:
@@ -198,7 +203,7 @@ def _verify(percent: int):
 
     def links(rows: list[tuple]) -> tuple[list, list]:
         nodes, side, times = (np.array(x) for x in zip(*[r[:3] for r in rows], strict=True))
-        sets = [np.frombuffer(r[3], W.U) for r in rows]
+        sets = [r[3] for r in rows]
         size = np.array([len(s) for s in sets])
         both = overlaps(sets)
         near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
@@ -225,12 +230,14 @@ def _verify(percent: int):
 
         key, held = None, []
         for batch in batches:
-            for cell, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lists = batch.column(6)
+            bounds, hashes = lists.offsets.to_numpy(), lists.values.to_numpy().view(W.U)
+            for k, (cell, i, j, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
                 if (cell, i, j) != key:
                     if len(held) > 1:
                         yield result(held)
                     key, held = (cell, i, j), []
-                held.append(tuple(row))
+                held.append((*row, hashes[bounds[k] : bounds[k + 1]].copy()))
         if len(held) > 1:
             yield result(held)
 
@@ -258,16 +265,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = sc.broadcast(_frequent(repeats, frequent))
     cells = alive = None
     for order in range(orders):
-        last = order == orders - 1
-        prefixes = _scan_sets(docs, shared, order, width, percent, alive, last)
+        prefixes = _prefixes(docs, width, alive, shared, order, percent)
         if cells is not None:
             prefixes = prefixes.join(cells, "node")
-        if last:
-            sets = prefixes = materialize(prefixes, "near-sets")
         cells = materialize(_components(prefixes, "cell" if cells is not None else None, percent).withColumnRenamed("root", "cell"), "near-cells")
-        if not last:
-            alive = sc.broadcast(_bitmap(cells))
-    sets = sets.drop("cell", "tokens").join(cells, "node").join(members.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "node")
+        alive = sc.broadcast(_bitmap(cells))
+    sets = _scan(docs, width, alive, "hashes", lambda: lambda own: own)
+    sets = sets.join(cells, "node").join(members.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "node")
     blocks = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.join(blocks, "cell").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

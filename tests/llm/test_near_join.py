@@ -74,7 +74,7 @@ def test_dense_groups_over_blocks(spark, monkeypatch, orders):
 def test_prefixes_hold_a_common_token():
     rng = np.random.default_rng(5)
     pool = near_join.W.mix(np.arange(400, dtype=np.uint64))
-    tokens, times = np.sort(pool[:60]), rng.integers(2, 5000, 60)
+    tokens, times = np.sort(pool[:60]), rng.integers(4, 50, 60).astype(np.uint8)
     for _ in range(300):
         a = np.sort(rng.choice(pool, rng.integers(1, 120), replace=False))
         b = a.copy()
