@@ -8,11 +8,12 @@ are verified, each pair exactly once. The orders put tokens that repeat most las
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import words as W
@@ -124,45 +125,131 @@ def prefix(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int,
     return own if size >= n else own[np.argpartition(_rank(own, tokens, classes, order), size - 1)[:size]]
 
 
-def _scan(docs: DataFrame, width: int, alive, field: str, value) -> DataFrame:
-    """(node, n, ``field``) of the distinct sets that are still alive; ``value`` makes the field from a set."""
+#: What travels for each prefix token: 48 bits of it, the set's name and size. Shortened tokens may meet by chance, which
+#: only makes a cell larger.
+_ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
+#: Prefix tokens that a task sorts at once, and that one bucket should hold.
+CHUNK_ROWS, BUCKET_ROWS = 2_000_000, 8_000_000
+
+
+def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between neighbours by size among the sets of each token, as distinct pairs, and which rows stand for all.
+
+    A chain breaks where the sizes of two neighbours alone rule out a link. Of a token's sets, the first and the last
+    stay and between them as many as keep the chain whole: whatever else may link with a set that goes can link with,
+    or stands between, two that stay.
+    """
+    order = np.lexsort((node, n, token))
+    token, node, n = token[order], node[order], n[order].astype(np.int64)
+    same = token[1:] == token[:-1]
+    twice = same & (node[1:] == node[:-1])
+    if twice.any():
+        stay = np.concatenate([[True], ~twice])
+        order, token, node, n = order[stay], token[stay], node[stay], n[stay]
+        same = token[1:] == token[:-1]
+    near = same & (100 * n[:-1] >= percent * n[1:])
+    pairs = np.unique(np.stack([node[1:][near], node[:-1][near]], axis=1), axis=0)
+    keep = np.ones(len(token), bool)
+    inner = np.flatnonzero(same[:-1] & same[1:]) + 1
+    if len(inner):
+        firsts = np.concatenate([[True], ~same])
+        first_of = np.maximum.accumulate(np.where(firsts, np.arange(len(token)), 0))
+        last = -1
+        for k in inner.tolist():  # only tokens of three sets or more
+            if last < first_of[k]:
+                last = int(first_of[k])
+            keep[k] = 100 * n[last] < percent * n[k + 1]
+            if keep[k]:
+                last = k
+    return pairs[:, 0], pairs[:, 1], order[keep]
+
+
+def _chained(docs: DataFrame, width: int, alive, shared, order: int, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) that join all sets which share a prefix token under one order and whose sizes allow a link."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, classes = shared.value
+        bits = alive.value if alive is not None else None
+        held: dict[int, np.ndarray] = {}
+        n_held = 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = np.array([len(own) for own, _ in held.values()])
+            token = np.concatenate([own for own, _ in held.values()]) >> W.U(16)
+            node = np.repeat(np.array(list(held), np.int64), sizes)
+            n = np.repeat(np.array([n for _, n in held.values()], np.int64), sizes)
+            a, b, stay = chains(token, node, n, percent)
+            rows = np.empty(len(stay), _ROW)
+            rows["token"] = token[stay].astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
+            rows["node"], rows["n"] = node[stay], n[stay]
+            bucket = (token[stay] % W.U(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+            blobs = [x.tobytes() for x in np.split(rows[by], cuts)]
+            names = bucket[by][np.concatenate([[0], cuts])].tolist()
+            if len(a):
+                blobs.append(np.stack([a, b], axis=1).tobytes())
+                names.append(-1)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, make = alive.value if alive is not None else None, value()
         for batch in batches:
-            rows = []
             for _, own in text_sets(batch.column(0), width):
-                if len(own) and (bits is None or bits[(node := node_of(own)) % SURVIVOR_BITS]):
-                    rows.append((node_of(own) if bits is None else node, len(own), make(own)))
-            if rows:
-                node, n, values = zip(*rows, strict=True)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists], names=["node", "n", field])
+                if len(own) and ((node := node_of(own)) not in held) and (bits is None or bits[node % SURVIVOR_BITS]):
+                    held[node] = (prefix(own, tokens, classes, order, percent), len(own))
+                    n_held += len(held[node][0])
+                    if n_held >= CHUNK_ROWS:
+                        yield flush()
+                        held, n_held = {}, 0
+        if held:
+            yield flush()
 
-    return docs.select("text").mapInArrow(scan, f"node long, n long, {field} array<long>").dropDuplicates(["node"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+        def result() -> pa.RecordBatch:
+            rows = np.frombuffer(b"".join(held), _ROW)
+            token = rows["token"].astype(np.uint64)
+            token = token[:, 0] | token[:, 1] << W.U(16) | token[:, 2] << W.U(32)
+            return edges(*chains(token, rows["node"], rows["n"], percent)[:2])
 
-def _prefixes(docs: DataFrame, width: int, alive, shared, order: int, percent: int) -> DataFrame:
-    """(node, n, tokens) with the prefix tokens under one order."""
+        key, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket < 0:
+                    pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
+                    yield edges(pairs[:, 0].copy(), pairs[:, 1].copy())
+                    continue
+                if bucket != key:
+                    if held:
+                        yield result()
+                    key, held = bucket, []
+                held.append(blob)
+        if held:
+            yield result()
 
-    def value():
-        tokens, classes = shared.value
-        return lambda own: prefix(own, tokens, classes, order, percent)
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, rows binary")
+    # a task's own edges carry no bucket: they are spread by their content
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket"))
+    return dealt.repartition(spread).sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
-    return _scan(docs, width, alive, "tokens", value)
 
+def _sets(docs: DataFrame, width: int, alive) -> DataFrame:
+    """(node, hashes) of the distinct sets that are still alive."""
 
-def _components(prefixes: DataFrame, cell: str | None, percent: int) -> DataFrame:
-    """(node, root): which sets hang together by prefix tokens, within each cell of the orders before.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = alive.value
+        for batch in batches:
+            rows = {}
+            for _, own in text_sets(batch.column(0), width):
+                if len(own) and bits[(node := node_of(own)) % SURVIVOR_BITS]:
+                    rows[node] = own
+            if rows:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows.values()])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(list(rows.values())).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), lists], names=["node", "hashes"])
 
-    The sets of a token stand in a chain by size, which breaks where the sizes of two neighbours alone rule out a link.
-    """
-    keys = [cell, "token"] if cell else ["token"]
-    rows = prefixes.select(*([cell] if cell else []), "node", "n", F.explode("tokens").alias("token"))
-    chain = Window.partitionBy(*keys).orderBy("n", "node")
-    rows = rows.select("node", "n", F.lag("node").over(chain).alias("b"), F.lag("n").over(chain).alias("m"))
-    return connected_components(rows.filter(100 * F.col("m") >= percent * F.col("n")).select(F.col("node").alias("a"), "b"), "near-cells")
+    return docs.select("text").mapInArrow(scan, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -263,15 +350,20 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     members, repeats = _members(docs, width)
     shared = sc.broadcast(_frequent(repeats, frequent))
+    total = members.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("rows")).first().rows
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
     cells = alive = None
     for order in range(orders):
-        prefixes = _prefixes(docs, width, alive, shared, order, percent)
-        if cells is not None:
-            prefixes = prefixes.join(cells, "node")
-        cells = materialize(_components(prefixes, "cell" if cells is not None else None, percent).withColumnRenamed("root", "cell"), "near-cells")
+        found = connected_components(_chained(docs, width, alive, shared, order, percent, buckets), "near-cells")
+        if cells is None:
+            cells = found.withColumnRenamed("root", "cell")
+        else:
+            both = cells.join(found, "node")
+            names = both.groupBy("cell", "root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+            cells = both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell"))
+        cells = materialize(cells, "near-cells")
         alive = sc.broadcast(_bitmap(cells))
-    sets = _scan(docs, width, alive, "hashes", lambda: lambda own: own)
-    sets = sets.join(cells, "node").join(members.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "node")
+    sets = _sets(docs, width, alive).join(cells, "node").join(members.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "node")
     blocks = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.join(blocks, "cell").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -92,6 +92,32 @@ def test_overlaps():
     assert near_join.overlaps(sets).tolist() == want
 
 
+def test_chains_in_two_steps_join_what_one_would():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        rows = 80
+        token, node = rng.integers(0, 6, rows).astype(np.uint64), rng.integers(0, 60, rows)
+        size = (10 * 1.13 ** (np.arange(60) % 17)).astype(np.int64)[rng.permutation(60)]
+        n = size[node]
+
+        def roots(pairs):
+            root = list(range(60))
+            for _ in range(60):
+                for a, b in pairs:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        want = [(int(node[i]), int(node[j])) for i in range(rows) for j in range(rows) if token[i] == token[j] and 100 * n[i] >= 85 * n[j] and n[i] <= n[j]]
+        pairs, kept = [], []
+        for part in np.array_split(np.arange(rows), 3):
+            a, b, stay = near_join.chains(token[part], node[part], n[part], 85)
+            pairs += zip(a.tolist(), b.tolist(), strict=True)
+            kept.append(part[stay])
+        kept = np.concatenate(kept)
+        a, b, _ = near_join.chains(token[kept], node[kept], n[kept], 85)
+        assert roots(pairs + list(zip(a.tolist(), b.tolist(), strict=True))) == roots(want)
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f"), (2, "A b c d e f"), (7, "other words here now"), (None, "a b c d e f"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
