@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language_id, near_join, secrets, sharding
+from strandline.llm import decontaminate, language_id, near_join, secrets, sharding, token_ids, token_store
 from strandline.llm.common import held_out
 
 
@@ -24,10 +24,23 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_ids.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    _, dictionary, files = token_store.write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_ids(spark, dictionary, files)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -38,5 +51,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, bench))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op5_secret_scan, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_secret_scan, op7_token_store, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {}
