@@ -56,8 +56,33 @@ def node_of(own: np.ndarray) -> int:
     return int(W.mix(np.array([x], W.U)).view(np.int64)[0])
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bitmap of about as many bits as the set has tokens; a bit that only one of two sets has is a token that only it has."""
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(own & W.U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(sketches: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets can reach the similarity, by the most tokens that their sketches let them share."""
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in sketches]
+    size = np.array([len(x) for x in bits])
+    out = np.zeros((len(n), len(n)), bool)
+    for least in np.unique(size):
+        # sizes of linked sets, and so those of their sketches, are within a factor; longer sketches are folded
+        own = np.flatnonzero((size >= least) & (size * percent <= 200 * least))
+        table = np.stack([bits[k].reshape(-1, least).max(axis=0) for k in own]).astype(np.float32)
+        filled, both, count = table.sum(axis=1), table @ table.T, n[own]
+        most = np.minimum(count[:, None] - (filled[:, None] - both), count[None, :] - (filled[None, :] - both))
+        near = 100 * most >= percent * (count[:, None] + count[None, :] - most)
+        here = np.minimum(size[own][:, None], size[own][None, :]) == least
+        out[np.ix_(own, own)] |= near & here
+    return out
+
+
 def _members(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (doc_id, n, node) of each row, and how often tokens repeat within a task's share."""
+    """One pass over the texts: (doc_id, n, node, sketch) of each row, and how often tokens repeat within a task's share."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -66,27 +91,28 @@ def _members(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             nulls = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(tokens.view(np.int64)), pa.array(counts)], names=names)
+            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts)], names=names)
 
-        names = ["doc_id", "n", "node", "token", "times"]
+        names = ["doc_id", "n", "node", "sketch", "token", "times"]
         for batch in batches:
-            ns, nodes = [], []
+            ns, nodes, sketches = [], [], []
             for _, own in text_sets(batch.column(1), width):
                 ns.append(len(own))
                 nodes.append(node_of(own) if len(own) else None)
+                sketches.append(sketch(own) if len(own) else None)
                 held.append(own)
                 n_held += len(own)
                 if n_held >= COUNTED:
                     yield repeated()
                     held, n_held = [], 0
             nulls = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), nulls, nulls], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), nulls, nulls], names=names)
         if held:
             yield repeated()
 
-    both = docs.mapInArrow(scan, "doc_id long, n long, node long, token long, times long")
+    both = docs.mapInArrow(scan, "doc_id long, n long, node long, sketch binary, token long, times long")
     both = materialize(both, "near-members")
-    return both.filter("times is null").select("doc_id", "n", "node"), both.filter("times is not null").select("token", "times")
+    return both.filter("times is null").select("doc_id", "n", "node", "sketch"), both.filter("times is not null").select("token", "times")
 
 
 def _frequent(repeats: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,52 +311,68 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _verify(percent: int):
-    """Links inside one block pair of a cell: a spanning forest of them, and each set's number of linked documents."""
+def _block_pairs(sets: DataFrame, scan) -> DataFrame:
+    """Deal (cell, node, n, times, payload) over pairs of blocks of their cells and run ``scan`` over each pair."""
+    blocks = sets.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sets.join(blocks, "cell").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "n", "times", "payload")
+    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(scan, "a long, b long, links long")
+
+
+def _links(near_of):
+    """Scan of block pairs: a spanning forest of the near sets, and each set's number of linked documents."""
 
-    def links(rows: list[tuple]) -> tuple[list, list]:
-        nodes, side, times = (np.array(x) for x in zip(*[r[:3] for r in rows], strict=True))
-        sets = [r[3] for r in rows]
-        size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        nodes, side, n, times = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+        near = near_of([r[4] for r in rows], n)
         np.fill_diagonal(near, False)
         if side.any():  # two blocks: pairs across only
             near &= side[:, None] != side[None, :]
         degrees = [(int(v), None, int(d)) for v, d in zip(nodes, near @ times, strict=True) if d]
-        forest, todo = [], set(range(len(nodes)))
-        while todo:
-            stack = [todo.pop()]
+        forest, todo = [], np.ones(len(nodes), bool)
+        for first in range(len(nodes)):
+            if not todo[first]:
+                continue
+            todo[first], stack = False, [first]
             while stack:
                 k = stack.pop()
-                for other in [o for o in np.flatnonzero(near[k]).tolist() if o in todo]:
-                    todo.discard(other)
-                    stack.append(other)
-                    forest.append((int(nodes[k]), int(nodes[other]), None))
-        return forest, degrees
+                fresh = np.flatnonzero(near[k] & todo)
+                todo[fresh] = False
+                stack += fresh.tolist()
+                forest += [(int(nodes[k]), int(nodes[x]), None) for x in fresh]
+        a, b, count = zip(*forest, *degrees, strict=True) if forest or degrees else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(count, pa.int64())], names=["a", "b", "links"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(rows: list[tuple]) -> pa.RecordBatch:
-            forest, degrees = links(rows)
-            a, b, n = zip(*forest, *degrees, strict=True) if forest or degrees else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
-
         key, held = None, []
         for batch in batches:
-            lists = batch.column(6)
-            bounds, hashes = lists.offsets.to_numpy(), lists.values.to_numpy().view(W.U)
-            for k, (cell, i, j, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+            payload = batch.column(7)
+            if pa.types.is_list(payload.type):
+                bounds, hashes = payload.offsets.to_numpy(), payload.values.to_numpy().view(W.U)
+                payload = [hashes[a:b].copy() for a, b in zip(bounds, bounds[1:], strict=False)]
+            else:
+                payload = payload.to_pylist()
+            for k, (cell, i, j, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
                 if (cell, i, j) != key:
                     if len(held) > 1:
-                        yield result(held)
+                        yield links(held)
                     key, held = (cell, i, j), []
-                held.append((*row, hashes[bounds[k] : bounds[k + 1]].copy()))
+                held.append((*row, payload[k]))
         if len(held) > 1:
-            yield result(held)
+            yield links(held)
 
     return scan
 
 
+def _verified(percent: int):
+    def near(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        both = overlaps(sets)
+        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+    return _links(near)
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, orders: int = 2, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id and n_links.
 
@@ -363,12 +405,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cells = both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell"))
         cells = materialize(cells, "near-cells")
         alive = sc.broadcast(_bitmap(cells))
-    sets = _sets(docs, width, alive).join(cells, "node").join(members.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "node")
-    blocks = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sets.join(blocks, "cell").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "times", "hashes")
-    found = pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_verify(percent), "a long, b long, links long")
+    sets = members.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.first("sketch").alias("payload")).join(cells, "node")
+    near = _block_pairs(sets, _links(lambda sketches, n: may_link(sketches, n, percent)))
+    cells = materialize(connected_components(near.filter("b is not null").select("a", "b"), "near-cells").withColumnRenamed("root", "cell"), "near-cells")
+    alive = sc.broadcast(_bitmap(cells))
+    sets = _sets(docs, width, alive).join(sets.drop("cell", "payload").join(cells, "node"), "node").withColumnRenamed("hashes", "payload")
+    found = _block_pairs(sets, _verified(percent))
     found = materialize(found, "near-links")
     roots = connected_components(found.filter("b is not null"), "near-links")
     degrees = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -118,6 +118,21 @@ def test_chains_in_two_steps_join_what_one_would():
         assert roots(pairs + list(zip(a.tolist(), b.tolist(), strict=True))) == roots(want)
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(12):
+        base = near_join.W.mix(rng.integers(0, 1 << 60, rng.integers(1, 300)).astype(np.uint64))
+        for _ in range(6):
+            sets.append(np.unique(np.where(rng.random(len(base)) < rng.choice([0.0, 0.03, 0.1]), near_join.W.mix(rng.integers(0, 1 << 60, len(base)).astype(np.uint64)), base)))
+    n = np.array([len(x) for x in sets])
+    both = near_join.overlaps(sets)
+    linked = 100 * both >= 85 * (n[:, None] + n[None, :] - both)
+    may = near_join.may_link([near_join.sketch(x) for x in sets], n, 85)
+    assert (may | ~linked).all()
+    assert may.sum() < len(sets) ** 2 / 4
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f"), (2, "A b c d e f"), (7, "other words here now"), (None, "a b c d e f"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
