@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language_id, near_join, secrets, sharding, token_ids, token_store
+from strandline.llm import decontaminate, language_id, near_join, neighbours, quality, secrets, sharding, token_ids, token_store
 from strandline.llm.common import held_out
 
 
@@ -20,6 +20,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    network = quality.fit(docs, labels.filter(~held_out()))
+    scored = quality.predict(docs, network)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +48,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_ids(spark, dictionary, files)
 
 
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -51,5 +63,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, bench))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op4_byte_bpe, op5_secret_scan, op7_token_store, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_cnn_quality, op3_ngram_jaccard_join, op4_byte_bpe, op5_secret_scan, op7_token_store, op8_hash_prefix_forest, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {}
