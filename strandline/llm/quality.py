@@ -93,7 +93,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     if len(y):
         rate = float(np.clip(y.mean(), 0.01, 0.99))
         net.offset[:] = np.log(rate / (1 - rate))
-    net.out[:] = rng.standard_normal(FILTERS).astype(np.float32) * 0.1
+    net.out[:] = rng.standard_normal(FILTERS).astype(np.float32) * (0.1 if len(y) else 0)
     first = {k: np.zeros_like(v) for k, v in net.parts().items()}
     second = {k: np.zeros_like(v) for k, v in net.parts().items()}
     step, steps = 0, max(1, epochs * -(-len(y) // BATCH))
