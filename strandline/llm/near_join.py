@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,14 @@ def prefix(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int,
     return own if size >= n else own[np.argpartition(_rank(own, tokens, classes, order), size - 1)[:size]]
 
 
+def _prefixes(shared, order: int, percent: int):
+    def make():
+        tokens, classes = shared.value
+        return lambda own: prefix(own, tokens, classes, order, percent)
+
+    return make
+
+
 #: What travels for each prefix token: 48 bits of it, the set's name and size. Shortened tokens may meet by chance, which
 #: only makes a cell larger.
 _ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
@@ -190,11 +199,14 @@ def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) ->
     return pairs[:, 0], pairs[:, 1], order[keep]
 
 
-def _chained(docs: DataFrame, width: int, alive, shared, order: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) that join all sets which share a prefix token under one order and whose sizes allow a link."""
+def chained(docs: DataFrame, items, tokens_of, alive, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) that join all sets which share a token of ``tokens_of`` and whose sizes allow a link.
+
+    ``items`` yields (row, set) from a text column; ``tokens_of``, called in each task, gives the function of a set.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, classes = shared.value
+        make = tokens_of()
         bits = alive.value if alive is not None else None
         held: dict[int, np.ndarray] = {}
         n_held = 0
@@ -219,9 +231,9 @@ def _chained(docs: DataFrame, width: int, alive, shared, order: int, percent: in
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:
-            for _, own in text_sets(batch.column(0), width):
+            for _, own in items(batch.column(0)):
                 if len(own) and ((node := node_of(own)) not in held) and (bits is None or bits[node % SURVIVOR_BITS]):
-                    held[node] = (prefix(own, tokens, classes, order, percent), len(own))
+                    held[node] = (make(own), len(own))
                     n_held += len(held[node][0])
                     if n_held >= CHUNK_ROWS:
                         yield flush()
@@ -260,14 +272,14 @@ def _chained(docs: DataFrame, width: int, alive, shared, order: int, percent: in
     return dealt.repartition(spread).sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
-def _sets(docs: DataFrame, width: int, alive) -> DataFrame:
+def alive_sets(docs: DataFrame, items, alive) -> DataFrame:
     """(node, hashes) of the distinct sets that are still alive."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = alive.value
         for batch in batches:
             rows = {}
-            for _, own in text_sets(batch.column(0), width):
+            for _, own in items(batch.column(0)):
                 if len(own) and bits[(node := node_of(own)) % SURVIVOR_BITS]:
                     rows[node] = own
             if rows:
@@ -278,7 +290,7 @@ def _sets(docs: DataFrame, width: int, alive) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
+def bitmap(nodes: DataFrame) -> np.ndarray:
     """A set of nodes of fixed size; at most as many numbers as it has bits come to the driver."""
     rows = nodes.select(F.pmod("node", F.lit(SURVIVOR_BITS)).cast("int").alias("k")).distinct().toArrow()
     bits = np.zeros(SURVIVOR_BITS, bool)
@@ -311,7 +323,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _block_pairs(sets: DataFrame, scan) -> DataFrame:
+def block_pairs(sets: DataFrame, scan) -> DataFrame:
     """Deal (cell, node, n, times, payload) over pairs of blocks of their cells and run ``scan`` over each pair."""
     blocks = sets.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -365,7 +377,7 @@ def _links(near_of):
     return scan
 
 
-def _verified(percent: int):
+def verified(percent: int):
     def near(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         both = overlaps(sets)
         return 100 * both >= percent * (n[:, None] + n[None, :] - both)
@@ -373,6 +385,19 @@ def _verified(percent: int):
     return _links(near)
 
 
+def links_of_cells(docs: DataFrame, items, classes: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b, links): a spanning forest (a, b) of the links within cells, and (a, null, links) with numbers of linked rows.
+
+    ``classes`` has node, n, times and sketch of each set, ``cells`` the cell of those that may link.
+    """
+    sets = classes.withColumnRenamed("sketch", "payload").join(cells, "node")
+    near = block_pairs(sets, _links(lambda sketches, n: may_link(sketches, n, percent)))
+    cells = materialize(connected_components(near.filter("b is not null").select("a", "b"), "near-cells").withColumnRenamed("root", "cell"), "near-cells")
+    alive = docs.sparkSession.sparkContext.broadcast(bitmap(cells))
+    sets = alive_sets(docs, items, alive).join(sets.drop("cell", "payload").join(cells, "node"), "node").withColumnRenamed("hashes", "payload")
+    return materialize(block_pairs(sets, verified(percent)), "near-links")
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, orders: int = 2, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id and n_links.
 
@@ -390,13 +415,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"there can be 1 to {len(_SEEDS)} orders")
     sc = df.sparkSession.sparkContext
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    items = partial(text_sets, width=width)
     members, repeats = _members(docs, width)
     shared = sc.broadcast(_frequent(repeats, frequent))
     total = members.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("rows")).first().rows
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
     cells = alive = None
     for order in range(orders):
-        found = connected_components(_chained(docs, width, alive, shared, order, percent, buckets), "near-cells")
+        found = connected_components(chained(docs, items, _prefixes(shared, order, percent), alive, percent, buckets), "near-cells")
         if cells is None:
             cells = found.withColumnRenamed("root", "cell")
         else:
@@ -404,14 +430,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names = both.groupBy("cell", "root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
             cells = both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell"))
         cells = materialize(cells, "near-cells")
-        alive = sc.broadcast(_bitmap(cells))
-    sets = members.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.first("sketch").alias("payload")).join(cells, "node")
-    near = _block_pairs(sets, _links(lambda sketches, n: may_link(sketches, n, percent)))
-    cells = materialize(connected_components(near.filter("b is not null").select("a", "b"), "near-cells").withColumnRenamed("root", "cell"), "near-cells")
-    alive = sc.broadcast(_bitmap(cells))
-    sets = _sets(docs, width, alive).join(sets.drop("cell", "payload").join(cells, "node"), "node").withColumnRenamed("hashes", "payload")
-    found = _block_pairs(sets, _verified(percent))
-    found = materialize(found, "near-links")
+        alive = sc.broadcast(bitmap(cells))
+    classes = members.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.first("sketch").alias("sketch"))
+    found = links_of_cells(docs, items, classes, cells, percent)
     roots = connected_components(found.filter("b is not null"), "near-links")
     degrees = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))

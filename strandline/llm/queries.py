@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, language_id, near_join, neighbours, quality, secrets, sharding, token_ids, token_store
+from strandline.llm import decontaminate, language_id, near_join, neighbours, passages, quality, secrets, sharding, token_ids, token_store
 from strandline.llm.common import held_out
 
 
@@ -41,6 +41,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,5 +67,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, bench))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_cnn_quality, op3_ngram_jaccard_join, op4_byte_bpe, op5_secret_scan, op7_token_store, op8_hash_prefix_forest, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_cnn_quality, op3_ngram_jaccard_join, op4_byte_bpe, op5_secret_scan, op6_substring_dedup, op7_token_store, op8_hash_prefix_forest, op9_sharding, op10_decontamination)}
 ORACLES: dict[str, str] = {}
