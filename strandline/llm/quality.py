@@ -22,8 +22,9 @@ STRIDE, STRIDES, WIDTH, FILTERS = 8, 3, 8, 32
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32_768
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.004, 5
 PAD = 256
-#: A byte is marked as repeated if the four bytes up to it stand at most so many bytes before, too.
-REPEAT = 20
+#: A byte is marked as repeated if the four bytes up to it stand at most so many bytes before, too; no more than the
+#: pads between two texts, so that none is marked by another text.
+REPEAT = 16
 
 
 @dataclass
@@ -60,19 +61,20 @@ class Network:
         return total
 
     def probabilities(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        codes, begins = layout(raw, offs)
-        pooled = np.maximum(np.maximum.reduceat(self.responses(codes), begins, axis=0), 0)
+        codes, begins, ends = layout(raw, offs)
+        pooled = np.maximum(np.maximum.reduceat(self.responses(codes), np.stack([begins, ends], axis=1).reshape(-1), axis=0)[::2], 0)
         return 1 / (1 + np.exp(-np.clip(pooled.astype(np.float64) @ self.out + self.offset, -30, 30)))
 
 
-def layout(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes of all texts, each padded to whole strides and followed by pads, and the strides at which they begin."""
+def layout(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte codes of all texts, each padded to whole strides, one at least, and followed by pads; the strides where they
+    begin and where their pads begin."""
     sizes = np.diff(offs)
-    strides = -(-sizes // STRIDE) + STRIDES - 1
-    begins = np.concatenate([[0], np.cumsum(strides)])
+    strides = np.maximum(1, -(-sizes // STRIDE))
+    begins = np.concatenate([[0], np.cumsum(strides + STRIDES - 1)])
     codes = np.full(int(begins[-1]) * STRIDE, PAD, np.int16)
     codes[np.arange(len(raw)) + np.repeat(begins[:-1] * STRIDE - offs[:-1], sizes)] = raw
-    return codes, begins[:-1]
+    return codes, begins[:-1], begins[:-1] + strides
 
 
 def repeats(codes: np.ndarray) -> np.ndarray:
@@ -112,10 +114,9 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
 
 def _gradients(net: Network, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    codes, begins = layout(np.frombuffer(b"".join(texts), np.uint8), offs)
+    codes, begins, ends = layout(np.frombuffer(b"".join(texts), np.uint8), offs)
     responses = net.responses(codes)
-    bounds = np.append(begins, len(responses))
-    best = np.stack([a + responses[a:b].argmax(axis=0) for a, b in zip(bounds, bounds[1:], strict=False)])
+    best = np.stack([a + responses[a:b].argmax(axis=0) for a, b in zip(begins, ends, strict=True)])
     top = np.take_along_axis(responses, best, axis=0)
     pooled = np.maximum(top, 0)
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.offset, -30, 30)))

@@ -40,7 +40,7 @@ def test_every_byte_counts_and_blocks_dont():
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     together = net.probabilities(np.frombuffer(b"".join(texts), np.uint8), offs)
     alone = [net.probabilities(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
-    assert np.allclose(together, alone, atol=1e-6)
+    assert np.allclose(together, alone, atol=1e-5)
     assert together[2] < together[3]
 
 
