@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import text_or_empty
+from strandline.llm import words as W
+from strandline.llm.common import string_buffers, text_or_empty
 
 #: Bytes of a word up to which it is folded; the fold's time grows with the square of the length, so longer words
 #: are merged by a heap instead, with the same result.
@@ -201,24 +202,33 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
 
 
-#: White space beyond ASCII, and rare ASCII kinds: texts with any are split as a whole.
-_ODD_SPACE = regex.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_TWO_SPACES = regex.compile("[ \\t\\n\\r\\x0b\\x0c]{2}")
+#: Bytes of ASCII white space, and of rare kinds of it.
+_SPACE_BYTES = W.byte_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
+_RARE_BYTES = W.byte_table(lambda b: 0x1C <= b <= 0x1F)
+#: Leads and second bytes of all other white space in UTF-8 (and of some characters besides).
+_WIDE_LEADS, _WIDE_SECONDS = W.byte_table(lambda b: b in (0xC2, 0xE1, 0xE2, 0xE3)), W.byte_table(lambda b: b in (0x80, 0x81, 0x85, 0x9A, 0xA0))
 
 
-class Splitter:
-    """Splits texts at spaces into units whose words are cached, and texts whose spaces touch each other as a whole."""
+def whole_texts(column: pa.Array) -> np.ndarray:
+    """Which texts have white space that touches other white space, or is rare: those aren't cut into units."""
+    raw, offs = string_buffers(column)
+    space = _SPACE_BYTES[raw]
+    found = _RARE_BYTES[raw]
+    found[1:] |= space[1:] & space[:-1] | _WIDE_LEADS[raw[:-1]] & _WIDE_SECONDS[raw[1:]]
+    return np.diff(np.concatenate([[0], np.cumsum(found)])[offs]) > 0
 
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
 
-    def units(self, text: str) -> list[str]:
-        """Parts that the pattern splits as if they stood alone: each space that stands alone begins one."""
-        if _TWO_SPACES.search(text) or _ODD_SPACE.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        parts = [" " + x for x in rest]
-        return [first, *parts] if first or not parts else parts
+def units(text: str) -> list[str]:
+    """Parts that the pre-tokenizer splits as if they stood alone, of a text without touching or rare white space: each
+    space begins one."""
+    first, *rest = text.split(" ")
+    parts = [" " + x for x in rest]
+    return [first, *parts] if first or not parts else parts
+
+
+def units_of(column: pa.Array) -> list[list[str]]:
+    """Units of each text; a text that can't be cut is one unit."""
+    return [[text] if odd else units(text) for text, odd in zip(column.to_pylist(), whole_texts(column).tolist(), strict=True)]
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make=None, fields: list[T.StructField] | None = None) -> DataFrame:
@@ -240,13 +250,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern = shared.value
-        splitter = Splitter(pattern)
+        find = regex.compile(pattern).findall
         numbers: dict[str, int] = {}
-        units: dict[str, list[int]] = {}
+        known: dict[str, list[int]] = {}
 
         def unit(text: str, fresh: list[str]) -> list[int]:
             out = []
-            for word in splitter.find(text):
+            for word in find(text):
                 if (k := numbers.get(word)) is None:
                     k = numbers[word] = len(numbers)
                     fresh.append(word)
@@ -259,15 +269,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 fresh: list[str] = []
                 if anew := len(numbers) > WORDS_HELD:
                     numbers.clear()
-                    units.clear()
+                    known.clear()
                 docs = []
-                for text in part.column(1).to_pylist():
+                for own in units_of(part.column(1)):
                     seq: list[int] = []
-                    for x in splitter.units(text):
-                        if (found := units.get(x)) is None:
+                    for x in own:
+                        if (found := known.get(x)) is None:
                             found = unit(x, fresh)
-                            if len(x) < 64 and len(units) < UNITS_HELD:
-                                units[x] = found
+                            if len(x) < 64 and len(known) < UNITS_HELD:
+                                known[x] = found
                         seq += found
                     docs.append(np.array(seq, np.int32).tobytes())
                 words = [w.encode() for w in fresh]

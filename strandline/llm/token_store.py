@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import scratch_path, text_or_empty
-from strandline.llm.token_ids import Splitter, wide_tasks
+from strandline.llm.token_ids import units_of, wide_tasks
 
 #: Fixed values of the format: magic numbers and the layout of header, index entry and footer.
 MAGIC, END = b"STRNDID1", b"STRNDEND"
@@ -54,22 +54,50 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_str(tokenizer), dtype, {}
-        self.splitter = Splitter("")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():  # one character of a byte-level token stands for one byte
+            self.sizes[k] = len(token)
+
+    def _fresh(self, fresh: list[str]) -> None:
+        """Units that begin with a space are encoded many at once: they split at those spaces, and the tokens' sizes tell
+        where each begins."""
+        joins = {u: u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in fresh if u}
+        spaced = [u for u, safe in joins.items() if safe]
+        chunks = [spaced[k : k + 1024] for k in range(0, len(spaced), 1024)]
+        width = self.dtype.itemsize
+        singles = [u for u in fresh if not joins.get(u)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            begins = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            ends = np.cumsum([len(u.encode()) for u in chunk])
+            cuts = np.searchsorted(begins, ends)
+            if begins[-1] != ends[-1] or (begins[np.minimum(cuts, len(ids))] != ends).any():
+                singles += chunk
+                continue
+            data, at = ids.astype(self.dtype).tobytes(), 0
+            for u, cut in zip(chunk, (cuts * width).tolist(), strict=True):
+                self.known[u] = data[at:cut]
+                at = cut
+        for u, e in zip(singles, self.tokenizer.encode_batch_fast(singles, add_special_tokens=False), strict=True):
+            self.known[u] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode(self, column: pa.Array) -> list[bytes]:
         """The serialized ids of each text."""
-        units = [self.splitter.units(t) for t in texts]
-        fresh = list({u for own in units for u in own if u not in self.known})
-        now = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                now[u] = np.array(e.ids, self.dtype).tobytes()
-        short = {u: x for u, x in now.items() if len(u) < 64}
-        if len(self.known) + len(short) <= UNITS_HELD:
-            self.known.update(short)
-        known = self.known
-        return [b"".join([known[u] if u in known else now[u] for u in own]) for own in units]
+        units = units_of(column)
+        fresh = list(set().union(*units).difference(self.known))
+        whole = [own[0] for own in units if len(own) == 1]
+        self._fresh(fresh)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, own)) for own in units]
+        if len(self.known) > UNITS_HELD:
+            for u in fresh:
+                del self.known[u]
+        else:
+            for u in whole:
+                if len(u) > 64:
+                    self.known.pop(u, None)
+        return out
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -149,7 +177,7 @@ def _sample(docs: DataFrame, tokenizer: str, dtype: np.dtype, rows: int) -> list
     every = max(1, rows // SAMPLE_DOCS)
     picked = docs.filter((F.octet_length("text") <= SAMPLE_TEXT) & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
     texts = [r.text for r in picked.select("text").limit(2 * SAMPLE_DOCS).collect()]
-    return UnitEncoder(tokenizer, dtype).encode(texts)
+    return UnitEncoder(tokenizer, dtype).encode(pa.array(texts, pa.string()))
 
 
 def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> tuple[str, bytes, list[tuple[str, int, int]]]:
@@ -188,7 +216,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | Non
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                ids = [x + end for x in encoder.encode(part.column(1))]
                 keys = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32)), part.column(0), pa.array([len(x) // own.width for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())],
