@@ -10,8 +10,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,12 @@ from strandline.llm import words as W
 from strandline.llm.common import string_buffers, text_or_empty
 
 #: Bytes of a word up to which it is folded; the fold's time grows with the square of the length, so longer words
-#: are merged by a heap instead, with the same result.
+#: are merged by a heap instead, with the same result. At most 255, as entries keep a place in 8 bits.
 FOLD_BYTES = 128
 #: Distinct words in a row of the plan.
 WORDS_PER_ROW = 2000
 #: Distinct words and units that a task remembers before it begins anew.
-WORDS_HELD, UNITS_HELD = 1_000_000, 500_000
+WORDS_HELD, UNITS_HELD = 1_200_000, 1_000_000
 #: Least bytes of input that a task should see, so that it meets most words only once.
 TASK_BYTES = 128 << 20
 #: Stands for a text's border in pair keys; no id reaches it.
@@ -130,35 +133,43 @@ class RankMap:
     def fold(self, word: Column) -> Column:
         """The ids of a word's bytes: a fold that merges the leftmost pair of the lowest rank until none is left.
 
-        The accumulator holds a key for each pair of neighbours, left id and right id side by side, with borders at both
-        ends. Looking a key up gives its id below 65536 if the pair merges, and a larger number if it doesn't.
+        The accumulator has an entry for each pair of neighbours, borders included: from the top, the rank of what it
+        merges to (65536: nothing), the byte at which its left part begins, and the ids of its left and right part. Its
+        least entry is the next merge, which changes the two entries beside it.
         """
         table, shift, first = _literal(self.table), _literal(self.shift), _literal(self.first)
-        size, border = F.octet_length(word), F.lit(BORDER).cast("long")
-        low_half, high_half = F.lit(0xFFFF).cast("long"), F.lit(-0x10000).cast("long")
-        look = lambda key: F.get(table, (key % self.slots + F.get(shift, key % self.groups)) % self.slots).bitwiseXOR(F.shiftleft(key, 16))
+        size, border, nothing = F.octet_length(word), _long(BORDER), _long(1 << 16)
+
+        def entry(begin, key):
+            """``begin`` is in its place already; an unknown key's slot gives more than 65536."""
+            found = F.get(table, (key % self.slots + F.get(shift, key % self.groups)) % self.slots).bitwiseXOR(F.shiftleft(key, 16))
+            return F.shiftleft(F.least(found, nothing), 40).bitwiseOR(begin).bitwiseOR(key)
+
         byte = lambda i: F.get(first, F.ascii(F.decode(F.substr(word, i, F.lit(1)), "ISO-8859-1")))
         ids = F.concat(F.array(border), F.transform(F.sequence(F.lit(1), size), byte))
         keys = F.zip_with(ids, F.slice(ids, F.lit(2), size), lambda a, b: F.shiftleft(a, 16).bitwiseOR(F.coalesce(b, border)))
+        entries = F.transform(keys, lambda key, i: entry(F.shiftleft(i.cast("long"), 32), key))
 
         def step(acc, _):
-            def merged(ranks):
-                def at(rank):
-                    def cut(p):
-                        left = F.get(acc, p - 2).bitwiseAND(high_half).bitwiseOR(rank)
-                        right = F.shiftleft(rank, 16).bitwiseOR(F.get(acc, p).bitwiseAND(low_half))
-                        return F.concat(F.slice(acc, F.lit(1), p - 2), F.array(left, right), F.slice(acc, p + 2, F.size(acc)))
-
-                    return F.when(rank < 65536, _let(F.array_position(ranks, rank).cast("int"), cut)).otherwise(acc)
+            def merged(least):
+                def at(p):
+                    rank, left, right = F.shiftright(least, 40), F.get(acc, p - 2), F.get(acc, p)
+                    before = _let(left.bitwiseAND(_long(0xFFFF0000)).bitwiseOR(rank), lambda key: entry(left.bitwiseAND(_long(0xFF << 32)), key))
+                    after = _let(F.shiftleft(rank, 16).bitwiseOR(right.bitwiseAND(_long(0xFFFF))), lambda key: entry(least.bitwiseAND(_long(0xFF << 32)), key))
+                    return F.concat(F.slice(acc, F.lit(1), p - 2), F.array(before, after), F.slice(acc, p + 2, F.size(acc)))
 
-                return _let(F.array_min(ranks), at)
+                return F.when(least < (1 << 56), _let(F.array_position(acc, least).cast("int"), at)).otherwise(acc)
 
-            return _let(F.transform(acc, look), merged)
+            return _let(F.array_min(acc), merged)
 
         def finish(acc):
-            return F.transform(F.slice(acc, F.lit(2), F.size(acc)), lambda key: F.shiftright(key, 16).cast("int"))
+            return F.transform(F.slice(acc, F.lit(2), F.size(acc)), lambda e: F.shiftright(e, 16).bitwiseAND(_long(0xFFFF)).cast("int"))
+
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), entries, step, finish)
+
 
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), keys, step, finish)
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
 
 
 def _let(value: Column, use) -> Column:
@@ -231,6 +242,19 @@ def units_of(column: pa.Array) -> list[list[str]]:
     return [[text] if odd else units(text) for text, odd in zip(column.to_pylist(), whole_texts(column).tolist(), strict=True)]
 
 
+class Ids:
+    """Keeps the ids of each word of a task, and puts those of a text together."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.words: list[list[int]] = []
+
+    def add(self, words: pa.ListArray) -> None:
+        self.words += words.to_pylist()
+
+    def text(self, words: np.ndarray) -> tuple:
+        return (list(chain.from_iterable(map(self.words.__getitem__, words.tolist()))),)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make=None, fields: list[T.StructField] | None = None) -> DataFrame:
     """``id_col``, and ids (array of int) of each whole text under the ranks, each match of ``pattern`` by itself.
 
@@ -238,30 +262,26 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     repeated rows are each encoded, a null id is kept, an empty table gives an empty result, and columns other than
     the two are not carried. Words longer than FOLD_BYTES are merged by a heap, with the same result.
 
-    ``make`` may replace the ids by other ``fields``: it is called in each task and gives a pair of functions, one from
-    a word's ids to what is kept of it, one from the list of what is kept of a text's words to its fields.
+    ``make`` may replace the ids by other ``fields``: called with the ranks, it gives an object like :class:`Ids`.
     """
     spark = df.sparkSession
     ranks = load_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((ranks, exact_pattern(pattern)))
     fields = fields or [T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    make = make or (lambda ranks: (lambda ids: ids, lambda kept: ([i for ids in kept for i in ids],)))
+    make = make or Ids
     names = ["row_id", "words", "long", "doc", "anew"]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, pattern = shared.value
         find = regex.compile(pattern).findall
         numbers: dict[str, int] = {}
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
 
-        def unit(text: str, fresh: list[str]) -> list[int]:
-            out = []
-            for word in find(text):
-                if (k := numbers.get(word)) is None:
-                    k = numbers[word] = len(numbers)
-                    fresh.append(word)
-                out.append(k)
-            return out
+        def number(word: str, fresh: list[str]) -> int:
+            if (k := numbers.get(word)) is None:
+                k = numbers[word] = len(numbers)
+                fresh.append(word)
+            return k
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -270,16 +290,16 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 if anew := len(numbers) > WORDS_HELD:
                     numbers.clear()
                     known.clear()
-                docs = []
-                for own in units_of(part.column(1)):
-                    seq: list[int] = []
-                    for x in own:
-                        if (found := known.get(x)) is None:
-                            found = unit(x, fresh)
-                            if len(x) < 64 and len(known) < UNITS_HELD:
-                                known[x] = found
-                        seq += found
-                    docs.append(np.array(seq, np.int32).tobytes())
+                texts = units_of(part.column(1))
+                new = set().union(*texts).difference(known)
+                for u in new:
+                    known[u] = array("i", [number(word, fresh) for word in find(u)]).tobytes()
+                get = known.__getitem__
+                docs = [b"".join(map(get, own)) for own in texts]
+                full = len(known) > UNITS_HELD
+                for u in new:
+                    if full or len(u) > 64:
+                        del known[u]
                 words = [w.encode() for w in fresh]
                 folded = [[w if len(w) <= FOLD_BYTES else b"" for w in words[k : k + WORDS_PER_ROW]] for k in range(0, len(words), WORDS_PER_ROW)]
                 heaped = [[None if len(w) <= FOLD_BYTES else merge_by_heap(w, ranks) for w in words[k : k + WORDS_PER_ROW]] for k in range(0, len(words), WORDS_PER_ROW)]
@@ -292,20 +312,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), nulls.cast(pa.list_(pa.binary())), nulls.cast(pa.list_(pa.list_(pa.int32()))), pa.array(docs, pa.binary()), nulls.cast(pa.bool_())], names=names)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word, of_text = make(shared.value[0])
-        kept: list = []
+        kept = make(shared.value[0])
         for batch in batches:
             ids_of, docs, anew = batch.column(1), batch.column(2), batch.column(3)
             out, rows = [], []
             for k in range(batch.num_rows):
                 if docs[k].is_valid:
-                    seq = np.frombuffer(docs[k].as_buffer(), np.int32).tolist()
-                    out.append(of_text([kept[i] for i in seq]))
+                    out.append(kept.text(np.frombuffer(docs[k].as_buffer(), np.int32)))
                     rows.append(k)
                 else:
                     if anew[k].as_py():
-                        kept.clear()
-                    kept += [of_word(x) for x in ids_of[k].as_py()]
+                        kept = make(shared.value[0])
+                    kept.add(ids_of[k].values)
             if rows:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, a) for c, a in zip(columns, arrow, strict=True))], names=schema.names)
@@ -341,22 +359,35 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     return df.withColumn(out_col, F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")))
 
 
-def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes decoded from the ids)."""
-
-    def make(ranks: dict[bytes, int]):
-        pieces = {k: token for token, k in ranks.items()}
+class Digests:
+    """Keeps, for each word, the number of its ids, their decimal text and the bytes that they decode to."""
 
-        def of_word(ids: list[int]) -> tuple[int, bytes, bytes]:
-            return len(ids), ",".join(map(str, ids)).encode(), b"".join([pieces[i] for i in ids])
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for token, k in ranks.items():
+            self.pieces[k] = token
+        self.decimals = [str(k).encode() for k in range(len(self.pieces))]
+        self.counts, self.decimal, self.binary = array("i"), [], []
+
+    def add(self, words: pa.ListArray) -> None:
+        bounds, ids = words.offsets.to_numpy().tolist(), words.values.to_numpy().tolist()
+        pieces, decimals = self.pieces.__getitem__, self.decimals.__getitem__
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own = ids[a:b]
+            self.counts.append(b - a)
+            self.decimal.append(b",".join(map(decimals, own)))
+            self.binary.append(b"".join(map(pieces, own)))
+
+    def text(self, words: np.ndarray) -> tuple[int, str, str]:
+        if not len(words):
+            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
+        pick = itemgetter(*words.tolist()) if len(words) > 1 else lambda kept, k=int(words[0]): (kept[k],)
+        count = int(np.frombuffer(self.counts, np.int32)[words].sum())
+        return count, hashlib.sha256(b",".join(pick(self.decimal))).hexdigest(), hashlib.sha256(b"".join(pick(self.binary))).hexdigest()
 
-        def of_text(kept: list[tuple[int, bytes, bytes]]) -> tuple[int, str, str]:
-            if not kept:
-                return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-            counts, decimal, binary = zip(*kept, strict=True)
-            return sum(counts), hashlib.sha256(b",".join(decimal)).hexdigest(), hashlib.sha256(b"".join(binary)).hexdigest()
 
-        return of_word, of_text
+def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes decoded from the ids)."""
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return encode(df, ranks_path, pattern, id_col, text_col, make, fields)
+    return encode(df, ranks_path, pattern, id_col, text_col, Digests, fields)
