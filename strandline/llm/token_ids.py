@@ -213,20 +213,18 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
 
 
-#: Bytes of ASCII white space, and of rare kinds of it.
-_SPACE_BYTES = W.byte_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
-_RARE_BYTES = W.byte_table(lambda b: 0x1C <= b <= 0x1F)
-#: Leads and second bytes of all other white space in UTF-8 (and of some characters besides).
-_WIDE_LEADS, _WIDE_SECONDS = W.byte_table(lambda b: b in (0xC2, 0xE1, 0xE2, 0xE3)), W.byte_table(lambda b: b in (0x80, 0x81, 0x85, 0x9A, 0xA0))
+#: Kinds of bytes: 1 for ASCII white space, 2 for rare kinds of it, 4 for the first bytes of all other white space in
+#: UTF-8, 8 for its second bytes (and those of some characters besides).
+_KINDS = np.array([(b == 0x20 or 0x09 <= b <= 0x0D) + 2 * (0x1C <= b <= 0x1F) + 4 * (b in (0xC2, 0xE1, 0xE2, 0xE3)) + 8 * (b in (0x80, 0x81, 0x85, 0x9A, 0xA0)) for b in range(256)], np.uint8)
 
 
 def whole_texts(column: pa.Array) -> np.ndarray:
     """Which texts have white space that touches other white space, or is rare: those aren't cut into units."""
     raw, offs = string_buffers(column)
-    space = _SPACE_BYTES[raw]
-    found = _RARE_BYTES[raw]
-    found[1:] |= space[1:] & space[:-1] | _WIDE_LEADS[raw[:-1]] & _WIDE_SECONDS[raw[1:]]
-    return np.diff(np.concatenate([[0], np.cumsum(found)])[offs]) > 0
+    kinds = _KINDS[raw]
+    pairs = kinds[:-1] & kinds[1:] & 1 | (kinds[:-1] >> 2 & kinds[1:] >> 3) & 1
+    odd = np.concatenate([np.flatnonzero(pairs) + 1, np.flatnonzero(kinds & 2)])
+    return np.bincount(np.searchsorted(offs, odd, side="right") - 1, minlength=len(offs) - 1) > 0
 
 
 def units(text: str) -> list[str]:

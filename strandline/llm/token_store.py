@@ -54,19 +54,22 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_str(tokenizer), dtype, {}
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype).tobytes() for m in ".,"}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():  # one character of a byte-level token stands for one byte
             self.sizes[k] = len(token)
 
     def _fresh(self, fresh: list[str]) -> None:
-        """Units that begin with a space are encoded many at once: they split at those spaces, and the tokens' sizes tell
-        where each begins."""
-        joins = {u: u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in fresh if u}
-        spaced = [u for u, safe in joins.items() if safe]
+        """A mark at the end of a word is a token of its own, so the word is encoded without it. Units that begin with a
+        space are encoded many at once: they split at those spaces, and the tokens' sizes tell where each begins."""
+        marked = {u: u[:-1] for u in fresh if u[-1:] in self.marks and "a" <= u[-2:-1] < "\u0250" and u[-2].isalpha()}
+        known = self.known
+        fresh = list({v for u in fresh if (v := marked.get(u, u)) not in known})
+        spaced = [u for u in fresh if u[:1] == " " and u[1:2].strip() and u[-1:].strip()]
         chunks = [spaced[k : k + 1024] for k in range(0, len(spaced), 1024)]
         width = self.dtype.itemsize
-        singles = [u for u in fresh if not joins.get(u)]
+        singles = [u for u in fresh if not (u[:1] == " " and u[1:2].strip() and u[-1:].strip())]
         for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
             begins = np.concatenate([[0], np.cumsum(self.sizes[ids])])
@@ -81,18 +84,20 @@ class UnitEncoder:
                 at = cut
         for u, e in zip(singles, self.tokenizer.encode_batch_fast(singles, add_special_tokens=False), strict=True):
             self.known[u] = np.array(e.ids, self.dtype).tobytes()
+        for u, word in marked.items():
+            known[u] = known[word] + self.marks[u[-1]]
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """The serialized ids of each text."""
         units = units_of(column)
-        fresh = list(set().union(*units).difference(self.known))
+        before = len(self.known)
         whole = [own[0] for own in units if len(own) == 1]
-        self._fresh(fresh)
+        self._fresh(list(set().union(*units).difference(self.known)))
         get = self.known.__getitem__
         out = [b"".join(map(get, own)) for own in units]
         if len(self.known) > UNITS_HELD:
-            for u in fresh:
-                del self.known[u]
+            for _ in range(len(self.known) - before):  # the newest go
+                self.known.popitem()
         else:
             for u in whole:
                 if len(u) > 64:

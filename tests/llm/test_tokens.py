@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RARE = [
-    None, "", " ", "  ", "a", " a", "a ", "a  b", "\n", "a\n b", "a \nb", "a\n \nb", "x  y", "it's I'LL we've 'tis", "1234 ½ Ⅳ ٣", "漢字かな交じり文", "𝒳𐐷 😀😀", "ǅ՘࢏", "<|endoftext|> a<|endoftext|>b",
+    None, "", " ", "  ", "a", " a", "a ", "a  b", "\n", "a\n b", "a \nb", "a\n \nb", "x  y", "it's I'LL we've 'tis", "1234 ½ Ⅳ ٣", "漢字かな交じり文", "𝒳𐐷 😀😀", "ǅ՘࢏", "<|endoftext|> a<|endoftext|>b", "a, b. c.. d,. ǅ, ՘, ֈ. é. 1. x.\ny, z,",
     "a" * 1000, "!?" * 400, "é" * 300, "ab" * 64, "word " * 3000, "\x1c \x85x", "  a 　b", "tab\tand\rmore \x0b x", "x" * 128 + " " + "y" * 129, "\x00\x01", " a  b\n", " c d\n", " e\n\n",
 ]
 
