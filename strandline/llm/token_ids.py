@@ -13,7 +13,6 @@ import sys
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -33,7 +32,7 @@ FOLD_BYTES = 128
 #: Distinct words in a row of the plan.
 WORDS_PER_ROW = 2000
 #: Distinct words and units that a task remembers before it begins anew.
-WORDS_HELD, UNITS_HELD = 1_200_000, 1_000_000
+WORDS_HELD, UNITS_HELD = 700_000, 350_000
 #: Least bytes of input that a task should see, so that it meets most words only once.
 TASK_BYTES = 128 << 20
 #: Stands for a text's border in pair keys; no id reaches it.
@@ -241,16 +240,34 @@ def units_of(column: pa.Array) -> list[list[str]]:
 
 
 class Ids:
-    """Keeps the ids of each word of a task, and puts those of a text together."""
+    """Holds the ids of each word of a task, side by side, and puts those of a text together."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.words: list[list[int]] = []
+        self.ids, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.words = 0
+
+    @staticmethod
+    def _grown(held: np.ndarray, size: int) -> np.ndarray:
+        return held if len(held) >= size else np.concatenate([held, np.zeros(max(size, 2 * len(held)) - len(held), held.dtype)])
 
     def add(self, words: pa.ListArray) -> None:
-        self.words += words.to_pylist()
+        """More words, numbered on from those held; each is a list of ids."""
+        bounds = words.offsets.to_numpy()
+        fresh = words.values.to_numpy()[bounds[0] : bounds[-1]]
+        begin, n = int(self.starts[self.words]), len(words)
+        self.starts, self.ids = self._grown(self.starts, self.words + n + 1), self._grown(self.ids, begin + len(fresh))
+        self.starts[self.words + 1 : self.words + n + 1] = begin + (bounds[1:] - bounds[0])
+        self.ids[begin : begin + len(fresh)] = fresh
+        self.words += n
+
+    def of(self, words: np.ndarray) -> list[int]:
+        first = self.starts[words]
+        sizes = self.starts[words + 1] - first
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tolist()
 
     def text(self, words: np.ndarray) -> tuple:
-        return (list(chain.from_iterable(map(self.words.__getitem__, words.tolist()))),)
+        return (self.of(words),)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make=None, fields: list[T.StructField] | None = None) -> DataFrame:
@@ -357,31 +374,20 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     return df.withColumn(out_col, F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")))
 
 
-class Digests:
-    """Keeps, for each word, the number of its ids, their decimal text and the bytes that they decode to."""
+class Digests(Ids):
+    """Gives the number of a text's ids, and digests of their decimal text and of the bytes that they decode to."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, k in ranks.items():
             self.pieces[k] = token
         self.decimals = [str(k).encode() for k in range(len(self.pieces))]
-        self.counts, self.decimal, self.binary = array("i"), [], []
-
-    def add(self, words: pa.ListArray) -> None:
-        bounds, ids = words.offsets.to_numpy().tolist(), words.values.to_numpy().tolist()
-        pieces, decimals = self.pieces.__getitem__, self.decimals.__getitem__
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            own = ids[a:b]
-            self.counts.append(b - a)
-            self.decimal.append(b",".join(map(decimals, own)))
-            self.binary.append(b"".join(map(pieces, own)))
 
     def text(self, words: np.ndarray) -> tuple[int, str, str]:
-        if not len(words):
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        pick = itemgetter(*words.tolist()) if len(words) > 1 else lambda kept, k=int(words[0]): (kept[k],)
-        count = int(np.frombuffer(self.counts, np.int32)[words].sum())
-        return count, hashlib.sha256(b",".join(pick(self.decimal))).hexdigest(), hashlib.sha256(b"".join(pick(self.binary))).hexdigest()
+        ids = self.of(words)
+        pick = itemgetter(*ids) if len(ids) > 1 else lambda table: [table[i] for i in ids]
+        return len(ids), hashlib.sha256(b",".join(pick(self.decimals))).hexdigest(), hashlib.sha256(b"".join(pick(self.pieces))).hexdigest()
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
