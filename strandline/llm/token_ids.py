@@ -46,19 +46,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def unicode_ranges(prop: str) -> str:
-    """The code points of a Unicode class, as a regular expression's ranges, as the tiktoken library's engine has them."""
+@cache
+def unicode_ranges(prop: str, below: int = sys.maxunicode + 1) -> str:
+    """The code points of a Unicode class up to ``below``, as a regular expression's ranges, as the tiktoken library's
+    engine has them."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
     probe = tiktoken.Encoding("probe", pat_str=prop, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    found = np.frombuffer(probe.decode_bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)
+    found = np.frombuffer(probe.decode_bytes(probe.encode_ordinary(every[:below])).decode().encode("utf-32-le"), np.uint32)
     cuts = np.flatnonzero(np.diff(found) != 1) + 1
     return "".join(f"\\U{int(x[0]):08X}-\\U{int(x[-1]):08X}" for x in np.split(found, cuts) if len(x))
 
 
-def exact_pattern(pattern: str) -> str:
-    """``pattern`` with its Unicode classes spelled out, so that every engine splits alike."""
+#: Texts of characters below these are split by patterns with short classes.
+LIMITS = (0x80, 0x250, sys.maxunicode + 1)
+
+
+def exact_pattern(pattern: str, below: int = LIMITS[-1]) -> str:
+    """``pattern`` with its Unicode classes spelled out, so that every engine splits alike, for characters up to ``below``."""
     for prop in (r"\p{L}", r"\p{N}"):
-        ranges = unicode_ranges(prop) if prop in pattern else ""
+        ranges = unicode_ranges(prop, below) if prop in pattern else ""
         pattern = _replace(pattern, prop, ranges)
     return pattern
 
@@ -130,22 +136,21 @@ class RankMap:
         return False
 
     def fold(self, word: Column) -> Column:
-        """The ids of a word's bytes: a fold that merges the leftmost pair of the lowest rank until none is left.
+        """The ids of a word, an array of its bytes as numbers: a fold that merges the leftmost pair of the lowest rank until none is left.
 
         The accumulator has an entry for each pair of neighbours, borders included: from the top, the rank of what it
         merges to (65536: nothing), the byte at which its left part begins, and the ids of its left and right part. Its
         least entry is the next merge, which changes the two entries beside it.
         """
         table, shift, first = _literal(self.table), _literal(self.shift), _literal(self.first)
-        size, border, nothing = F.octet_length(word), _long(BORDER), _long(1 << 16)
+        size, border, nothing = F.size(word), _long(BORDER), _long(1 << 16)
 
         def entry(begin, key):
             """``begin`` is in its place already; an unknown key's slot gives more than 65536."""
             found = F.get(table, (key % self.slots + F.get(shift, key % self.groups)) % self.slots).bitwiseXOR(F.shiftleft(key, 16))
             return F.shiftleft(F.least(found, nothing), 40).bitwiseOR(begin).bitwiseOR(key)
 
-        byte = lambda i: F.get(first, F.ascii(F.decode(F.substr(word, i, F.lit(1)), "ISO-8859-1")))
-        ids = F.concat(F.array(border), F.transform(F.sequence(F.lit(1), size), byte))
+        ids = F.concat(F.array(border), F.transform(word, lambda byte: F.get(first, byte)))
         keys = F.zip_with(ids, F.slice(ids, F.lit(2), size), lambda a, b: F.shiftleft(a, 16).bitwiseOR(F.coalesce(b, border)))
         entries = F.transform(keys, lambda key, i: entry(F.shiftleft(i.cast("long"), 32), key))
 
@@ -281,16 +286,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """
     spark = df.sparkSession
     ranks = load_ranks(ranks_path)
-    shared = spark.sparkContext.broadcast((ranks, exact_pattern(pattern)))
+    shared = spark.sparkContext.broadcast((ranks, [exact_pattern(pattern, x) for x in LIMITS]))
     fields = fields or [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     make = make or Ids
     names = ["row_id", "words", "long", "doc", "anew"]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, pattern = shared.value
-        find = regex.compile(pattern).findall
+        ranks, patterns = shared.value
+        plain, latin, every = (regex.compile(p).findall for p in patterns)
         numbers: dict[str, int] = {}
         known: dict[str, bytes] = {}
+        limit = chr(LIMITS[1])
 
         def number(word: str, fresh: list[str]) -> int:
             if (k := numbers.get(word)) is None:
@@ -308,7 +314,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 texts = units_of(part.column(1))
                 new = set().union(*texts).difference(known)
                 for u in new:
-                    known[u] = array("i", [number(word, fresh) for word in find(u)]).tobytes()
+                    known[u] = array("i", [number(word, fresh) for word in (plain if u.isascii() else latin if max(u) < limit else every)(u)]).tobytes()
                 get = known.__getitem__
                 docs = [b"".join(map(get, own)) for own in texts]
                 full = len(known) > UNITS_HELD
@@ -316,15 +322,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     if full or len(u) > 64:
                         del known[u]
                 words = [w.encode() for w in fresh]
-                folded = [[w if len(w) <= FOLD_BYTES else b"" for w in words[k : k + WORDS_PER_ROW]] for k in range(0, len(words), WORDS_PER_ROW)]
+                folded = [_byte_lists([w if len(w) <= FOLD_BYTES else b"" for w in words[k : k + WORDS_PER_ROW]]) for k in range(0, len(words), WORDS_PER_ROW)]
                 heaped = [[None if len(w) <= FOLD_BYTES else merge_by_heap(w, ranks) for w in words[k : k + WORDS_PER_ROW]] for k in range(0, len(words), WORDS_PER_ROW)]
                 if anew and not folded:
-                    folded, heaped = [[]], [[]]
+                    folded, heaped = [_byte_lists([])], [[]]
                 if folded:
                     nulls = pa.nulls(len(folded))
-                    yield pa.RecordBatch.from_arrays([nulls.cast(id_arrow), pa.array(folded, pa.list_(pa.binary())), pa.array(heaped, pa.list_(pa.list_(pa.int32()))), nulls.cast(pa.binary()), pa.array([anew and k == 0 for k in range(len(folded))])], names=names)
+                    yield pa.RecordBatch.from_arrays([nulls.cast(id_arrow), pa.ListArray.from_arrays(np.cumsum([0, *map(len, folded)], dtype=np.int32), pa.concat_arrays(folded)), pa.array(heaped, pa.list_(pa.list_(pa.int32()))), nulls.cast(pa.binary()), pa.array([anew and k == 0 for k in range(len(folded))])], names=names)
                 nulls = pa.nulls(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), nulls.cast(pa.list_(pa.binary())), nulls.cast(pa.list_(pa.list_(pa.int32()))), pa.array(docs, pa.binary()), nulls.cast(pa.bool_())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), nulls.cast(pa.list_(pa.list_(pa.int16()))), nulls.cast(pa.list_(pa.list_(pa.int32()))), pa.array(docs, pa.binary()), nulls.cast(pa.bool_())], names=names)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = make(shared.value[0])
@@ -349,12 +355,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     id_type = texts.schema["row_id"].dataType
     id_arrow, arrow = to_arrow_type(id_type), [to_arrow_type(f.dataType) for f in fields]
     schema = T.StructType([T.StructField(id_col, id_type), *fields])
-    middle = T.StructType([T.StructField("row_id", id_type), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("doc", T.BinaryType()), T.StructField("anew", T.BooleanType())])
+    middle = T.StructType([T.StructField("row_id", id_type), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("doc", T.BinaryType()), T.StructField("anew", T.BooleanType())])
     whole = wide_tasks(texts).mapInArrow(listed, middle)
-    merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, F.when(F.octet_length(w) > 0, RankMap(ranks).fold(w))))
+    merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, F.when(F.size(w) > 0, RankMap(ranks).fold(w))))
     return whole.select("row_id", F.when(F.col("words").isNotNull(), merged).alias("ids"), "doc", "anew").mapInArrow(joined, schema)
 
 
+def _byte_lists(words: list[bytes]) -> pa.ListArray:
+    """Words as lists of their bytes' numbers."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, words)], dtype=np.int32), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+
+
 def wide_tasks(df: DataFrame) -> DataFrame:
     """``df`` in fewer partitions where the session splits files finely, but at least one for each core."""
     spark = df.sparkSession
