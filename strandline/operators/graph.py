@@ -90,7 +90,7 @@ def nearest(points: DataFrame, k: int, id_col: str = "id", vector_col: str = "v"
             yield answer(held)
 
     found = asked.union(there).repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(search, "id bigint, neighbour bigint, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour")).cast("bigint"))
     return ranked.filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
 
@@ -100,7 +100,7 @@ def nearest_in_day(rows: DataFrame, columns: list[str], k: int = 3) -> DataFrame
     other = v.select(F.col("resumeid").alias("neighbour"), "date", F.col("v").alias("w"))
     distance = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     joined = v.join(other, "date").filter("resumeid != neighbour").select("resumeid", "date", "neighbour", F.round(distance, 6).alias("distance"))
-    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("resumeid", "date").orderBy("distance", "neighbour")))
+    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("resumeid", "date").orderBy("distance", "neighbour")).cast("bigint"))
     return ranked.filter(F.col("rank") <= k)
 
 
