@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,7 +93,6 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= BORDER:
             raise ValueError(f"ids must stay below {BORDER}")
-        self.first = [ranks[bytes([i])] for i in range(256)]
         keys, ids = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -102,6 +101,10 @@ class RankMap:
                     keys.append(left << 16 | right)
                     ids.append(rank)
         self._place(np.array(keys, np.int64), np.array(ids, np.int64))
+        first, known = [ranks[bytes([i])] for i in range(256)], dict(zip(keys, ids, strict=True))
+        ends = [*first, BORDER]
+        self.opening = [1 << 56 | BORDER << 16 | x for x in first]
+        self.pairs = [known.get(x << 16 | y, 1 << 16) << 40 | x << 16 | y for x in first for y in ends]
 
     def _place(self, keys: np.ndarray, ids: np.ndarray) -> None:
         slots, groups = _prime(max(7, 2 * len(keys))), _prime(max(5, len(keys) // 2))
@@ -142,34 +145,36 @@ class RankMap:
         merges to (65536: nothing), the byte at which its left part begins, and the ids of its left and right part. Its
         least entry is the next merge, which changes the two entries beside it.
         """
-        table, shift, first = _literal(self.table), _literal(self.shift), _literal(self.first)
-        size, border, nothing = F.size(word), _long(BORDER), _long(1 << 16)
+        table, shift = _literal(self.table), _literal(self.shift)
+        opening, pairs = _literal(self.opening), _literal(self.pairs)
+        low16, low32, begin8 = _long(0xFFFF), _long(0xFFFFFFFF), _long(0xFF << 32)
 
-        def entry(begin, key):
-            """``begin`` is in its place already; an unknown key's slot gives more than 65536."""
+        def entry(e):
+            """With its rank, from an entry without one; an unknown key's slot gives more than 65536."""
+            key = e.bitwiseAND(low32)
             found = F.get(table, (key % self.slots + F.get(shift, key % self.groups)) % self.slots).bitwiseXOR(F.shiftleft(key, 16))
-            return F.shiftleft(F.least(found, nothing), 40).bitwiseOR(begin).bitwiseOR(key)
+            return F.shiftleft(F.least(found, _long(1 << 16)), 40).bitwiseOR(e)
 
-        ids = F.concat(F.array(border), F.transform(word, lambda byte: F.get(first, byte)))
-        keys = F.zip_with(ids, F.slice(ids, F.lit(2), size), lambda a, b: F.shiftleft(a, 16).bitwiseOR(F.coalesce(b, border)))
-        entries = F.transform(keys, lambda key, i: entry(F.shiftleft(i.cast("long"), 32), key))
+        # bytes are paired by a table of their own, in which 256 stands for the end
+        paired = F.transform(word, lambda byte, i: F.get(pairs, byte.cast("int") * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))).bitwiseOR(F.shiftleft((i + 1).cast("long"), 32)))
+        entries = F.concat(F.array(F.get(opening, F.get(word, F.lit(0)))), paired)
 
         def step(acc, _):
             def merged(least):
                 def at(p):
                     rank, left, right = F.shiftright(least, 40), F.get(acc, p - 2), F.get(acc, p)
-                    before = _let(left.bitwiseAND(_long(0xFFFF0000)).bitwiseOR(rank), lambda key: entry(left.bitwiseAND(_long(0xFF << 32)), key))
-                    after = _let(F.shiftleft(rank, 16).bitwiseOR(right.bitwiseAND(_long(0xFFFF))), lambda key: entry(least.bitwiseAND(_long(0xFF << 32)), key))
-                    return F.concat(F.slice(acc, F.lit(1), p - 2), F.array(before, after), F.slice(acc, p + 2, F.size(acc)))
+                    before = left.bitwiseAND(_long((0xFF << 32) | 0xFFFF0000)).bitwiseOR(rank)
+                    after = least.bitwiseAND(begin8).bitwiseOR(F.shiftleft(rank, 16)).bitwiseOR(right.bitwiseAND(low16))
+                    return F.concat(F.slice(acc, F.lit(1), p - 2), F.transform(F.array(before, after), entry), F.slice(acc, p + 2, F.size(acc)))
 
                 return F.when(least < (1 << 56), _let(F.array_position(acc, least).cast("int"), at)).otherwise(acc)
 
             return _let(F.array_min(acc), merged)
 
         def finish(acc):
-            return F.transform(F.slice(acc, F.lit(2), F.size(acc)), lambda e: F.shiftright(e, 16).bitwiseAND(_long(0xFFFF)).cast("int"))
+            return F.transform(F.slice(acc, F.lit(2), F.size(acc)), lambda e: F.shiftright(e, 16).bitwiseAND(low16).cast("int"))
 
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), entries, step, finish)
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), entries, step, finish)
 
 
 def _long(value: int) -> Column:
@@ -182,8 +187,20 @@ def _let(value: Column, use) -> Column:
 
 
 def _literal(numbers) -> Column:
-    """A literal array; Catalyst folds the cast into a constant."""
-    return F.expr(f"cast(split('{','.join(map(str, numbers))}', ',') as array<bigint>)")
+    """A literal array of longs.
+
+    Made from a primitive array, whose plan text is short and whose numbers aren't boxed. Without a JVM at hand it is
+    made from text, which Catalyst folds into the same constant.
+    """
+    session = SparkSession.getActiveSession()
+    if not hasattr(session, "_jvm"):
+        return F.expr(f"cast(split('{','.join(map(str, numbers))}', ',') as array<bigint>)")
+    jvm, data = session._jvm, np.asarray(numbers, ">i8")
+    array = session.sparkContext._gateway.new_array(jvm.long, len(data))
+    jvm.java.nio.ByteBuffer.wrap(data.tobytes()).asLongBuffer().get(array)
+    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
+    kind = jvm.org.apache.spark.sql.types.DataTypes.createArrayType(jvm.org.apache.spark.sql.types.DataTypes.LongType, False)
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(array), kind)))
 
 
 def _prime(n: int) -> int:
