@@ -31,6 +31,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _HEXKEY = re.compile(r"[0-9A-Fa-f]{48,}")
 #: Fewest characters of a base64 candidate, and of a hexadecimal one of the base kind.
 MIN_BASE64, MIN_HEX, MIN_HEXKEY = 32, 24, 48
+#: Fewest characters of any span without a delimiter: a signed token with the shortest header that names an algorithm.
+MIN_RUN = 18
 _HEX_BYTES = W.byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66 or 0x41 <= b <= 0x46)
 _B64_BYTES = W.byte_table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b in b"+/_-.")
 
@@ -134,7 +136,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
 def _suspects(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Texts that can hold any span at all: with a delimiter, a long run of code characters or a key's first letters."""
     marks = [np.flatnonzero((raw == 0x3A) | (raw == 0x3D))]
-    for table, least in ((_HEX_BYTES, MIN_HEX), (_B64_BYTES, 20)):
+    for table, least in ((_HEX_BYTES, MIN_HEX), (_B64_BYTES, MIN_RUN)):
         starts, ends = W.runs(raw, offs, table)
         marks.append(starts[ends - starts >= least])
     data, at = raw.tobytes(), -1

@@ -33,6 +33,8 @@ FOLD_BYTES = 128
 WORDS_PER_ROW = 2000
 #: Distinct words and units that a task remembers before it begins anew.
 WORDS_HELD, UNITS_HELD = 700_000, 350_000
+#: Rows of an Arrow batch at most, so that a task holds few texts at once.
+BATCH_ROWS = 512
 #: Least bytes of input that a task should see, so that it meets most words only once.
 TASK_BYTES = 128 << 20
 #: Stands for a text's border in pair keys; no id reaches it.
@@ -299,9 +301,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     repeated rows are each encoded, a null id is kept, an empty table gives an empty result, and columns other than
     the two are not carried. Words longer than FOLD_BYTES are merged by a heap, with the same result.
 
+    The session's Arrow batches are limited to BATCH_ROWS rows, as two Python workers and the JVM hold one each.
     ``make`` may replace the ids by other ``fields``: called with the ranks, it gives an object like :class:`Ids`.
     """
     spark = df.sparkSession
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(limit, str(min(int(spark.conf.get(limit)), BATCH_ROWS)))
     ranks = load_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((ranks, [exact_pattern(pattern, x) for x in LIMITS]))
     fields = fields or [T.StructField("ids", T.ArrayType(T.IntegerType()))]

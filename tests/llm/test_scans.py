@@ -146,6 +146,7 @@ def test_base_spans_equal_the_patterns(spark):
         ("0123456789abcdef01234567g deadbeef", ["hex:0:24"]),
         ("é " + url64(b'{"alg":"none"}') + ".e30.", ["jwt:2:26"]),
         (url64(b'{"alg":7}') + ".e30.", []),
+        ("a " + url64(b'{"alg":""}') + ".e3. b", ["jwt:2:20"]),
         ("k " + b64(KEY), [f"der:2:{2 + len(b64(KEY))}"]),
         ("k " + b64(KEY[:-1] + b"\0\0"), []),
         (KEY.hex().upper(), [f"hexkey:0:{2 * len(KEY)}"]),
