@@ -31,6 +31,12 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return auc_by_date(predictions).join(precision_recall_by_date(predictions), "date").join(confusion_by_date(predictions), "date").orderBy("date")
 
 
+def class_counts(samples: DataFrame) -> DataFrame:
+    """Positives, negatives and their ratio, null without negatives."""
+    p, n = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    return samples.agg(p.alias("positives"), n.alias("negatives"), F.try_divide(p, n).alias("ratio"))
+
+
 def undersample(samples: DataFrame, ids: list[str], seed: int = 11) -> DataFrame:
     """All positives, and as many negatives by a hash of their ids as there are positives, or all if there are fewer."""
     rate = samples.agg(F.least(F.lit(1.0), F.try_divide(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0))).alias("rate"))

@@ -22,6 +22,19 @@ def pairs(actions: DataFrame, registrations: DataFrame, deliveries: DataFrame) -
     return both.withColumn("time", F.expr("try_cast(time as bigint)")).filter("time is not null and resumeid is not null and positionid is not null")
 
 
+def index_ids(rows: DataFrame, id_col: str) -> DataFrame:
+    """Each distinct id with a dense index from 0 in the order of ids.
+
+    Ids are counted by range partition first, so that no task numbers them all.
+    """
+    ids = rows.select(id_col).distinct().repartitionByRange(id_col).withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part").orderBy(id_col)
+    numbered = ids.withColumn("k", F.row_number().over(within))
+    sizes = numbered.groupBy("part").agg(F.max("k").alias("size"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return numbered.join(F.broadcast(before), "part").select(id_col, (F.col("before") + F.col("k") - 1).cast("bigint").alias("index"))
+
+
 def pair_weights(all_pairs: DataFrame) -> DataFrame:
     return all_pairs.groupBy("resumeid", "positionid").agg(F.sum(flag_weight(F.col("flag"))).alias("weight"))
 

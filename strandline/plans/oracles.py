@@ -35,7 +35,7 @@ _CTE = {
     "raw_days": "select resumeid, date, cast(sum(c) as bigint) as c, cast(sum(d) as bigint) as d from (select resumeid, date, 1 as c, 0 as d from clicks union all select resumeid, date, 0, 1 from sent) group by all",
     "axis": "select date, cast(row_number() over (order by date) - 1 as bigint) as i from (select distinct date from raw_days)",
     "grid": "select r.resumeid, a.date, a.i, coalesce(x.c, 0) as c, coalesce(x.d, 0) as d, (coalesce(x.c, 0) >= 3 or coalesce(x.d, 0) > 0) as act, (coalesce(x.c, 0) > 0 or coalesce(x.d, 0) > 0) as x, (select count(*) from axis) as n from (select distinct resumeid from raw_days) r cross join axis a left join raw_days x on r.resumeid = x.resumeid and a.date = x.date",
-    "past": "select resumeid, date, i, n, c, d, {lags} as history, coalesce(max(cast(act as int)) over (partition by resumeid order by i rows between 4 preceding and current row), 0) = 1 as history_active, coalesce(max(cast(act as int)) over (partition by resumeid order by i rows between 1 following and 5 following), 0) as next5 from grid",
+    "past": "select resumeid, date, i, n, c, d, sum(c + d) over (partition by resumeid order by i rows between 4 preceding and current row) as total, {lags} as history, coalesce(max(cast(act as int)) over (partition by resumeid order by i rows between 4 preceding and current row), 0) = 1 as history_active, coalesce(max(cast(act as int)) over (partition by resumeid order by i rows between 1 following and 5 following), 0) as next5 from grid",
     "ahead": "select resumeid, date, i, n, {leads} as features, coalesce(max(cast(act as int)) over (partition by resumeid order by i rows between current row and 4 following), 0) as busy, coalesce(max(cast(act as int)) over (partition by resumeid order by i rows between 5 following and 7 following), 0) as later from grid",
     "spans": "select max(i) - min(i) as length, resumeid from grid where x group by resumeid",
     "span_hist": "select length, count(*) as n from spans group by length",
@@ -80,6 +80,9 @@ _FILL = {
     "distance": " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _FEATURE_NAMES[12:]),
 }
 
+_base, _match, _late = (" + ".join(f"l.{c}" for c in names) for names in (_FEATURE_NAMES[:12], _FEATURE_NAMES[12:], _FEATURE_NAMES[13:]))
+_FILL["sums"] = ", ".join(f"round({x}, 4) as sum_{tag}" for tag, x in (("b", _base), ("m", _match), ("bm", f"{_base} + {_match}"), ("bh", f"{_base} + p.total"), ("hm", f"{_late} + p.total"), ("bhm", f"{_base} + {_match} + p.total")))
+
 
 def _body(name: str) -> str:
     text = _CTE[name]
@@ -167,6 +170,11 @@ _QUERIES = {
     "jn7_labeled_full_outer": "select case when a.resumeid is null then '0' else '1' end as activeness, m.resume_id, m.date, m.click_count, m.delivery_count from active a full join merged m on a.resumeid = m.resume_id and a.date = m.date + 1",
     "jn13_valid_ids": "select resume_id, date, label from labelled where resume_id in (select resume_id from labelled group by 1 having count(*) > 20)",
     "pf11_date_split": "select resume_id, date, label, 'train' as part from labelled where date <= date '2024-01-25' union all select resume_id, date, label, 'test' from labelled where date >= date '2024-01-25'",
+    "ml28_id_index": "select resumeid, cast(dense_rank() over (order by resumeid) - 1 as bigint) as index from (select distinct resumeid from weights)",
+    "jn2_click_triples": "select distinct r.resumeid, a.infoid as positionid, a.clicktime from actions a join registrations r using (userid)",
+    "jn22_factor_owners": "select distinct resumeid, cast(10 as bigint) as rank from weights where resumeid in (select resume_id from labelled where date >= date '2024-01-25')",
+    "ag23_class_counts": "select count(*) filter (label = 1) as positives, count(*) filter (label = 0) as negatives, round(count(*) filter (label = 1) / nullif(count(*) filter (label = 0), 0), 6) as ratio from labelled",
+    "pf14_feature_slices": "select l.resume_id as resumeid, l.date, {sums} from labelled l join past p on l.resume_id = p.resumeid and l.date = p.date where p.history_active",
     "jn15_history_vectors": "select resumeid, string_agg(cast(c as varchar), ',' order by i) as clicks, string_agg(cast(d as varchar), ',' order by i) as deliveries from grid group by resumeid",
     "wn4_history_features": "select resumeid, date, history, history_active from past",
     "wn6_history_training": "select resumeid, cast(i + 4 as int) as day, cast(later as double) as label, features from ahead where i < n - 12 and busy = 1",

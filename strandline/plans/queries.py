@@ -145,6 +145,22 @@ def ml24_latent_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.select("resumeid", F.size("features").alias("rank"))
 
 
+def ml27_gamma_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts after the divider for several values of gamma."""
+    train, test = L.date_split(Tables(spark, sf_dir).samples().persist(), DIVIDER, exclusive=True)
+    of = lambda label, prediction: F.count_if((F.col("label") == label) & (F.col("prediction") == prediction))
+    measure = lambda rows: rows.agg(of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(0, 0).alias("tn"), of(1, 0).alias("fn"))
+    return M.sweep(train, test, lambda rows, gamma: M.Descent(gamma=gamma).model(rows), [0.0, 0.1, 0.2, 0.3], measure)
+
+
+def jn22_factor_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes with factors that also have test samples."""
+    t = Tables(spark, sf_dir)
+    _, test = L.date_split(t.labelled(), DIVIDER)
+    owners = test.select(F.col("resume_id").alias("resumeid")).distinct()
+    return G.latent_factors(t.weights(), rank=10, iterations=3).join(owners, "resumeid", "left_semi").select("resumeid", F.size("features").cast("bigint").alias("rank"))
+
+
 def sc1_delimited_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions written as delimited lines, some with blank fields at the end, and parsed back."""
     blank = F.when(F.col("infoid") % 10 == 0, "").otherwise(F.col("infoid").cast("string"))
@@ -274,6 +290,11 @@ QUERIES = {
     "ml21_recall_controlled_lr": _trained(lambda d: M.hybrid(d, M.Descent(gamma=0.2).model, trees=20)),
     "ml22_full_data_hybrid": _trained(lambda d: M.hybrid(d, M.Descent(gamma=-0.2).model, trees=20, keep=["features"], columns=list(range(42, 52))), Tables.history_samples),
     "ml24_latent_factors": ml24_latent_factors,
+    "ml27_gamma_sweep": ml27_gamma_sweep,
+    "ml28_id_index": _table_query(lambda t: G.index_ids(t.weights(), "resumeid")),
+    "jn2_click_triples": _table_query(lambda t: t.actions().join(t.registrations(), "userid").select("resumeid", F.col("infoid").alias("positionid"), "clicktime").distinct()),
+    "jn22_factor_owners": jn22_factor_owners,
+    "ag23_class_counts": _table_query(lambda t: E.class_counts(t.labelled())),
 }
 
 
