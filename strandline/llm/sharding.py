@@ -106,7 +106,7 @@ def balanced_map(slot_bytes: dict[int, int], shards: int, slots: int = SLOTS) ->
         load, shard = heapq.heappop(heap)
         owner[slot] = shard
         heapq.heappush(heap, (load + size, shard))
-    return SlotMap(shards, tuple(owner), 1, (f"balanced over {shards} shards",)).rebalance(slot_bytes)
+    return SlotMap(shards, tuple(owner), 0, (f"balanced over {shards} shards",)).rebalance(slot_bytes)
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:

@@ -284,11 +284,11 @@ class Ids:
         self.ids[begin : begin + len(fresh)] = fresh
         self.words += n
 
-    def of(self, words: np.ndarray) -> list[int]:
+    def of(self, words: np.ndarray) -> np.ndarray:
         first = self.starts[words]
         sizes = self.starts[words + 1] - first
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tolist()
+        return self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def text(self, words: np.ndarray) -> tuple:
         return (self.of(words),)
@@ -418,7 +418,7 @@ class Digests(Ids):
         self.decimals = [str(k).encode() for k in range(len(self.pieces))]
 
     def text(self, words: np.ndarray) -> tuple[int, str, str]:
-        ids = self.of(words)
+        ids = self.of(words).tolist()
         pick = itemgetter(*ids) if len(ids) > 1 else lambda table: [table[i] for i in ids]
         return len(ids), hashlib.sha256(b",".join(pick(self.decimals))).hexdigest(), hashlib.sha256(b"".join(pick(self.pieces))).hexdigest()
 
