@@ -1 +1 @@
-
+"""Activity analytics and training-data operators on Spark."""

@@ -1 +1 @@
-
+"""Operators: each a function of DataFrames and parameters."""

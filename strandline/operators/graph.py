@@ -112,7 +112,7 @@ def nearest_in_day(rows: DataFrame, columns: list[str], k: int = 3) -> DataFrame
     v = rows.select("resumeid", "date", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
     other = v.select(F.col("resumeid").alias("neighbour"), "date", F.col("v").alias("w"))
     distance = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    joined = v.join(other, "date").filter("resumeid != neighbour").select("resumeid", "date", "neighbour", F.round(distance, 6).alias("distance"))
+    joined = v.join(other, "date").filter("resumeid != neighbour").select("resumeid", "date", "neighbour", F.round(distance, 8).alias("distance"))
     ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("resumeid", "date").orderBy("distance", "neighbour")).cast("bigint"))
     return ranked.filter(F.col("rank") <= k)
 

@@ -44,7 +44,7 @@ _CTE = {
     "rule": "select resume_id, date, cast(label as int) as label, case when (click_count >= 2 and delivery_count = 0) or delivery_count >= 2 then 1 else 0 end as prediction from labelled",
     "confusion": "select date, count(*) filter (label = 1 and prediction = 1) as tp, count(*) filter (label = 0 and prediction = 1) as fp, count(*) filter (label = 0 and prediction = 0) as tn, count(*) filter (label = 1 and prediction = 0) as fn from rule group by date",
     "prf": "select date, case when tp + fp > 0 then tp / (tp + fp) end as p, case when tp + fn > 0 then tp / (tp + fn) end as r from confusion",
-    "near_day": "select a.resumeid, a.date, b.resumeid as neighbour, round({distance}, 6) as distance, row_number() over (partition by a.resumeid, a.date order by round({distance}, 6), b.resumeid) as rank from similar_rows a join similar_rows b on a.date = b.date and a.resumeid <> b.resumeid",
+    "near_day": "select a.resumeid, a.date, b.resumeid as neighbour, round({distance}, 8) as distance, row_number() over (partition by a.resumeid, a.date order by round({distance}, 8), b.resumeid) as rank from similar_rows a join similar_rows b on a.date = b.date and a.resumeid <> b.resumeid",
 }
 
 _MATCHES = ["rp_salary", "rp_education", "r_complete", "rr_salary", "rp_gender"]

@@ -261,7 +261,7 @@ QUERIES = {
     "ag15_pair_weights": _table_query(lambda t: t.weights()),
     "ml25_path_counts": _table_query(lambda t: G.path_counts(t.weights())),
     "jn23_knn_top_m": _table_query(lambda t: G.nearest(t.table("embeddings"), NEIGHBOURS, "vec_id", "embedding")),
-    "jn24_knn_in_day": _table_query(lambda t: G.nearest_in_day(t.similar(), X.feature_names()[12:])),
+    "jn24_knn_in_day": _table_query(lambda t: G.nearest_in_day(t.similar(), X.feature_names()[12:]), 8),
     "jn18_neighbour_features": _table_query(lambda t: G.neighbour_features(G.nearest_in_day(t.similar(), X.feature_names()[12:]), t.merged(), ["click_count", "delivery_count"])),
     "ag21_confusion_by_date": _table_query(lambda t: E.confusion_by_date(t.rule_predictions())),
     "ag22_prf_by_date": _table_query(lambda t: E.precision_recall_by_date(t.rule_predictions())),
