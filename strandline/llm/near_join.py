@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import words as W
-from strandline.llm.common import materialize, text_blocks
+from strandline.llm.common import materialize, releasing, text_blocks
 from strandline.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -111,7 +111,7 @@ def _members(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         if held:
             yield repeated()
 
-    both = docs.mapInArrow(scan, "doc_id long, n long, node long, sketch binary, token long, times long")
+    both = docs.mapInArrow(releasing(scan), "doc_id long, n long, node long, sketch binary, token long, times long")
     both = materialize(both, "near-members")
     return both.filter("times is null").select("doc_id", "n", "node", "sketch"), both.filter("times is not null").select("token", "times")
 
@@ -164,7 +164,7 @@ def _prefixes(shared, order: int, percent: int):
 #: only makes a cell larger.
 _ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
 #: Prefix tokens that a task sorts at once, and that one bucket should hold.
-CHUNK_ROWS, BUCKET_ROWS = 2_000_000, 8_000_000
+CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 8_000_000
 
 
 def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,10 +266,10 @@ def chained(docs: DataFrame, items, tokens_of, alive, percent: int, buckets: int
         if held:
             yield result()
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, rows binary")
+    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket int, rows binary")
     # a task's own edges carry no bucket: they are spread by their content
     spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket"))
-    return dealt.repartition(spread).sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    return dealt.repartition(spread).sortWithinPartitions("bucket").mapInArrow(releasing(meet), "a long, b long")
 
 
 def alive_sets(docs: DataFrame, items, alive) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import words as W
-from strandline.llm.common import string_buffers, text_or_empty
+from strandline.llm.common import releasing, string_buffers, text_or_empty
 
 #: Bytes of a word up to which it is folded; the fold's time grows with the square of the length, so longer words
 #: are merged by a heap instead, with the same result. At most 255, as entries keep a place in 8 bits.
@@ -378,9 +378,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     id_arrow, arrow = to_arrow_type(id_type), [to_arrow_type(f.dataType) for f in fields]
     schema = T.StructType([T.StructField(id_col, id_type), *fields])
     middle = T.StructType([T.StructField("row_id", id_type), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("doc", T.BinaryType()), T.StructField("anew", T.BooleanType())])
-    whole = wide_tasks(texts).mapInArrow(listed, middle)
+    whole = wide_tasks(texts).mapInArrow(releasing(listed), middle)
     merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, F.when(F.size(w) > 0, RankMap(ranks).fold(w))))
-    return whole.select("row_id", F.when(F.col("words").isNotNull(), merged).alias("ids"), "doc", "anew").mapInArrow(joined, schema)
+    return whole.select("row_id", F.when(F.col("words").isNotNull(), merged).alias("ids"), "doc", "anew").mapInArrow(releasing(joined), schema)
 
 
 def _byte_lists(words: list[bytes]) -> pa.ListArray:
