@@ -32,7 +32,7 @@ FOLD_BYTES = 128
 #: Distinct words in a row of the plan.
 WORDS_PER_ROW = 2000
 #: Distinct words and units that a task remembers before it begins anew.
-WORDS_HELD, UNITS_HELD = 700_000, 350_000
+WORDS_HELD, UNITS_HELD = 1_000_000, 400_000
 #: Rows of an Arrow batch at most, so that a task holds few texts at once.
 BATCH_ROWS = 512
 #: Least bytes of input that a task should see, so that it meets most words only once.
