@@ -24,6 +24,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
+    if "://" not in root:  # a bare path is one of Spark's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = "file://" + root[5:] if root.startswith("file:/") and not root.startswith("file://") else root
     return root.rstrip("/")
 
 
