@@ -12,6 +12,9 @@ from strandline.llm.common import held_out, materialize
 LEAST_COSINE = 0.05
 #: Near copies: words of a shingle, and the least similarity in hundredths.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Distinct words and units that an encoding task remembers: fewer than by default, as it shares its executor with the
+#: workers of the stages before.
+WORDS_HELD, UNITS_HELD = 250_000, 120_000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the token ids of each text."""
     import public_tokenizers
 
-    ids = token_ids.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = token_ids.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, words_held=WORDS_HELD, units_held=UNITS_HELD)
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -294,7 +294,7 @@ class Ids:
         return (self.of(words),)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make=None, fields: list[T.StructField] | None = None) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make=None, fields: list[T.StructField] | None = None, words_held: int | None = None, units_held: int | None = None) -> DataFrame:
     """``id_col``, and ids (array of int) of each whole text under the ranks, each match of ``pattern`` by itself.
 
     Equal to the tiktoken library's encode_ordinary with these ranks. A null text counts as empty and has no ids;
@@ -302,11 +302,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     the two are not carried. Words longer than FOLD_BYTES are merged by a heap, with the same result.
 
     The session's Arrow batches are limited to BATCH_ROWS rows, as two Python workers and the JVM hold one each.
-    ``make`` may replace the ids by other ``fields``: called with the ranks, it gives an object like :class:`Ids`.
+    A task remembers ``words_held`` distinct words before it begins anew, and ``units_held`` units of text; fewer take less
+    memory and more time, with the same result. ``make`` may replace the ids by other ``fields``: called with the ranks, it gives an object like :class:`Ids`.
     """
     spark = df.sparkSession
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(limit, str(min(int(spark.conf.get(limit)), BATCH_ROWS)))
+    words_held, units_held = words_held or WORDS_HELD, units_held or UNITS_HELD
     ranks = load_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((ranks, [exact_pattern(pattern, x) for x in LIMITS]))
     fields = fields or [T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -330,7 +332,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 fresh: list[str] = []
-                if anew := len(numbers) > WORDS_HELD:
+                if anew := len(numbers) > words_held:
                     numbers.clear()
                     known.clear()
                 texts = units_of(part.column(1))
@@ -339,7 +341,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     known[u] = array("i", [number(word, fresh) for word in (plain if u.isascii() else latin if max(u) < limit else every)(u)]).tobytes()
                 get = known.__getitem__
                 docs = [b"".join(map(get, own)) for own in texts]
-                full = len(known) > UNITS_HELD
+                full = len(known) > units_held
                 for u in new:
                     if full or len(u) > 64:
                         del known[u]
