@@ -126,4 +126,4 @@ def append_columns(df: DataFrame, fields: list[T.StructField], scan: Callable[[p
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *work(batch)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)

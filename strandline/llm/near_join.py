@@ -165,6 +165,8 @@ def _prefixes(shared, order: int, percent: int):
 _ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
 #: Prefix tokens that a task sorts at once, and that one bucket should hold.
 CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 8_000_000
+#: Edges that a task holds before it sends the distinct ones.
+EDGES_HELD = 1_000_000
 
 
 def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,29 +244,37 @@ def chained(docs: DataFrame, items, tokens_of, alive, percent: int, buckets: int
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        pairs: list[np.ndarray] = []
 
-        def result() -> pa.RecordBatch:
+        def edges() -> pa.RecordBatch:
+            found = np.unique(np.concatenate(pairs), axis=0)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+        def close() -> None:
             rows = np.frombuffer(b"".join(held), _ROW)
             token = rows["token"].astype(np.uint64)
             token = token[:, 0] | token[:, 1] << W.U(16) | token[:, 2] << W.U(32)
-            return edges(*chains(token, rows["node"], rows["n"], percent)[:2])
+            pairs.append(np.stack(chains(token, rows["node"], rows["n"], percent)[:2], axis=1))
 
         key, held = None, []
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket < 0:
-                    pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                    yield edges(pairs[:, 0].copy(), pairs[:, 1].copy())
-                    continue
-                if bucket != key:
+                    pairs.append(np.frombuffer(blob, np.int64).reshape(-1, 2))
+                elif bucket != key:
                     if held:
-                        yield result()
-                    key, held = bucket, []
-                held.append(blob)
+                        close()
+                    key, held = bucket, [blob]
+                else:
+                    held.append(blob)
+                # a pair meets in many buckets, so each is sent once for the task
+                if sum(map(len, pairs)) >= EDGES_HELD:
+                    yield edges()
         if held:
-            yield result()
+            close()
+        if pairs:
+            yield edges()
 
     dealt = docs.select("text").mapInArrow(releasing(deal), "bucket int, rows binary")
     # a task's own edges carry no bucket: they are spread by their content
