@@ -1,6 +1,6 @@
-"""Substring dedup: paragraphs that repeat across documents, found by MinHash banding and verified exactly.
+"""Substring dedup: lines that repeat across documents nearly, and runs of words that repeat verbatim within or across lines.
 
-Paragraphs are lines. Bands tuned for high recall bring similar paragraphs into common buckets; each bucket is chained
+Paragraphs are lines, found by MinHash banding and verified exactly; runs of words are those of ``spans``. Bands tuned for high recall bring similar paragraphs into common buckets; each bucket is chained
 by size rather than paired off; whatever hangs together is verified by the exact Jaccard similarity of word shingles;
 linked paragraphs form clusters by components, of which the first occurrence stays.
 """
@@ -20,6 +20,7 @@ from strandline.llm import words as W
 from strandline.llm.common import materialize, text_blocks
 from strandline.llm.components import connected_components
 from strandline.llm.near_join import BUCKET_ROWS, chained, links_of_cells, node_of, sketch
+from strandline.llm.spans import repeated_spans
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, PERCENT = 5, 80
@@ -115,6 +116,16 @@ def repeated_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select("doc_id", "paragraph", "start", "end", F.col("words").alias("n_words"), cluster.alias("cluster"), removed.alias("removed"))
 
 
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options) -> DataFrame:
+    """The rows of :func:`repeated_paragraphs`, and those of :func:`~strandline.llm.spans.repeated_spans` with a null paragraph.
+
+    A line that repeats verbatim is in both.
+    """
+    lines = repeated_paragraphs(df, id_col, text_col, min_words=min_words, **options)
+    spans = repeated_spans(df, id_col, text_col, min_words).withColumn("paragraph", F.lit(None).cast("int"))
+    return lines.unionByName(spans)
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with the lines that :func:`repeated_paragraphs` marks as removed taken out; rows with a null id stay as they are."""
     gone = repeated_paragraphs(df, id_col, text_col, **options).filter("removed and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("_gone"))

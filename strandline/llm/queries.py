@@ -42,7 +42,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
