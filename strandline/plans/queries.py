@@ -249,7 +249,7 @@ QUERIES = {
     "wn4_history_features": _table_query(lambda t: H.history_features(t.histories()).select("resumeid", "date", _text("history"), "history_active")),
     "wn6_history_training": _table_query(lambda t: H.training_windows(t.histories()).select("resumeid", "day", "label", _text("features"))),
     "wn7_history_test": _table_query(lambda t: H.training_windows(t.histories(), test=True).select("resumeid", "day", "label", _text("features"))),
-    "jn17_append_history": _table_query(lambda t: H.append_history(t.labelled().filter("resume_id % 3 > 0").select("resume_id", "date", "label", "click_count"), t.histories()).select("resumeid", "date", "label", "made_up", _text("history"), F.col("click_count").cast("bigint").alias("click_count"))),
+    "jn17_append_history": _table_query(lambda t: H.append_history(t.labelled().select("resume_id", "date", "label", "click_count"), t.histories()).select("resumeid", "date", "label", "made_up", _text("history"), F.col("click_count").cast("bigint").alias("click_count"))),
     "wn12_active_day_hist": _table_query(lambda t: H.active_day_histogram(t.histories())),
     "wn9_continuous_runs": _table_query(lambda t: H.continuous_runs(t.histories())),
     "wn10_activity_span": _table_query(lambda t: H.activity_spans(t.histories())),
