@@ -16,7 +16,7 @@ from strandline.sources import logs
 from strandline.sources.fixtures import DIVIDER, FIRST_DAY, LAST_DAY, Views
 
 #: Neighbours of the k-NN join, and days of which the date split tells training from test.
-NEIGHBOURS = 10
+NEIGHBOURS = 100
 
 
 class Tables(Views):
