@@ -70,9 +70,9 @@ def linear_svm(train: DataFrame, iterations: int = 20) -> Model:
     return _scored(LinearSVC(maxIter=iterations, regParam=0.01).fit(train))
 
 
-def logistic(train: DataFrame, iterations: int = 10, weight: str | None = None) -> Model:
+def logistic(train: DataFrame, iterations: int = 10, weight: str | None = None, threshold: float = 0.5) -> Model:
     options = {"weightCol": weight} if weight else {}
-    return _scored(LogisticRegression(maxIter=iterations, **options).fit(train))
+    return _scored(LogisticRegression(maxIter=iterations, threshold=threshold, **options).fit(train))
 
 
 # own gradients

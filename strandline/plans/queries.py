@@ -158,7 +158,7 @@ def jn22_factor_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     _, test = L.date_split(t.labelled(), DIVIDER)
     owners = test.select(F.col("resume_id").alias("resumeid")).distinct()
-    return G.latent_factors(t.weights(), rank=10, iterations=3).join(owners, "resumeid", "left_semi").select("resumeid", F.size("features").cast("bigint").alias("rank"))
+    return G.latent_factors(t.weights()).join(owners, "resumeid", "left_semi").select("resumeid", F.size("features").cast("bigint").alias("rank"))
 
 
 def sc1_delimited_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,18 +277,18 @@ QUERIES = {
     "ml8_random_forest": _trained(M.random_forest, balance=False),
     "ml8_forest_with_history": _trained(M.random_forest, Tables.history_samples, balance=False),
     "ml8_forest_on_windows": _on_windows(M.random_forest),
-    "ml9_boosted_trees": _trained(lambda d: M.boosted_trees(d, iterations=10), balance=False),
+    "ml9_boosted_trees": _trained(lambda d: M.boosted_trees(d), balance=False),
     "ml10_linear_svm": _trained(M.linear_svm, balance=False),
     "ml10_svm_on_windows": _on_windows(lambda d: M.linear_svm(d, 100)),
-    "ml12_rf_lr": _trained(lambda d: M.hybrid(d, M.logistic, trees=20)),
-    "ml13_gbt_lr": _trained(lambda d: M.hybrid(d, M.logistic, boosted=True, trees=10, depth=5)),
+    "ml12_rf_lr": _trained(lambda d: M.hybrid(d, M.logistic)),
+    "ml13_gbt_lr": _trained(lambda d: M.hybrid(d, lambda x: M.logistic(x, threshold=0.01), boosted=True, depth=8)),
     "ml15_oversampled_gd": _trained(lambda d: M.Descent().model(E.oversample(d).drop("copy")), balance=False),
     "ml16_time_lr": _trained(_time_logistic),
     "ml17_match_lr": _match_logistic(False),
     "ml18_time_match_lr": _match_logistic(True),
-    "ml20_rf_time_lr": _trained(lambda d: M.hybrid(d, _time_logistic, trees=20, keep=["day"])),
-    "ml21_recall_controlled_lr": _trained(lambda d: M.hybrid(d, M.Descent(gamma=0.2).model, trees=20)),
-    "ml22_full_data_hybrid": _trained(lambda d: M.hybrid(d, M.Descent(gamma=-0.2).model, trees=20, keep=["features"], columns=list(range(42, 52))), Tables.history_samples),
+    "ml20_rf_time_lr": _trained(lambda d: M.hybrid(d, _time_logistic, keep=["day"])),
+    "ml21_recall_controlled_lr": _trained(lambda d: M.hybrid(d, M.Descent(gamma=0.2).model)),
+    "ml22_full_data_hybrid": _trained(lambda d: M.hybrid(d, M.Descent(gamma=-0.2).model, keep=["features"], columns=list(range(42, 52))), Tables.history_samples),
     "ml24_latent_factors": ml24_latent_factors,
     "ml27_gamma_sweep": ml27_gamma_sweep,
     "ml28_id_index": _table_query(lambda t: G.index_ids(t.weights(), "resumeid")),
