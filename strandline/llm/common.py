@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +20,48 @@ BLOCK_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every executor shares (``spark.checkpoint.dir``); a local one only where none is named, as in tests."""
+    """This application's own folder in the one that every executor shares (``spark.checkpoint.dir``).
+
+    Where none is named, a session within one process, as in tests, gets a temporary one; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:  # a bare path is one of Spark's default file system
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
         root = "file://" + root[5:] if root.startswith("file:/") and not root.startswith("file://") else root
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must have been written elsewhere."""
+    remove_path(spark, scratch_root(spark))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage and survives lost executors."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, and its path; that cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written by :func:`stored` and read back."""
+    return stored(df, label)[0]
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Spark's own file systems."""
+    """Delete a folder through Spark's own file systems."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -71,6 +88,24 @@ def releasing(scan: Callable) -> Callable:
     return run
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Limits Arrow batches to ``rows`` for what runs inside; the session's own limit holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    own = int(before)
+    spark.conf.set(name, str(min(own, rows) if own > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fresh_name(stem: str) -> str:
+    """A column name that no caller's column bears."""
+    return f"_{stem}_{uuid.uuid4().hex}"
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -107,16 +142,29 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         first = end
 
 
+def cut_text(text: str, ranges: list[tuple[int, int]], mask: str = "") -> str:
+    """``text`` with the union of half-open ``ranges`` of characters taken out, or ``mask`` in place of each piece of it.
+
+    Ranges that overlap are one piece; those that only touch are two.
+    """
+    out, at = [], 0
+    for a, b in sorted(ranges):
+        if a >= at:
+            out += [text[at:a], mask]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], scan: Callable[[pa.RecordBatch], list[pa.Array]], needs: str) -> DataFrame:
     """Run ``scan`` over Arrow batches and append its arrays as ``fields``.
 
-    Input columns that bear a name of ``fields`` are replaced, unless it is ``needs``, the column that is scanned.
-    ``scan`` is built once per task by calling it through a zero-argument factory.
+    Input columns that bear a name of ``fields``, in either case, are replaced, unless it is ``needs``, the column that
+    is scanned. ``scan`` is built once per task by calling it through a zero-argument factory.
     """
-    names = {f.name for f in fields}
-    if needs in names:
+    names = {f.name.lower() for f in fields}
+    if needs.lower() in names:
         raise ValueError(f"the scanned column {needs!r} bears the name of a result column")
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
     schema = T.StructType([*df.schema.fields, *fields])
     kept = len(df.columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import remove_path, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges``, a table of pairs (a, b) of longs; root is the component's least node.
 
-    Each round is written to the shared folder, which cuts the lineage; the rounds end once the edges stand still.
-    Minima are combined before they are shuffled and hubs are joined back, so that a hub is a skewed join at worst,
-    never a group in one task. Loops and repeated edges are allowed; an empty table gives an empty result.
+    Each round is written to the shared folder, which cuts the lineage, and the round before it is deleted; the rounds
+    end once the edges stand still. Minima are combined before they are shuffled and hubs are joined back, so that a hub
+    is a skewed join at worst, never a group in one task. Loops and repeated edges are allowed, rows with a null end are
+    dropped; an empty table gives an empty result.
     """
-    now = materialize(edges.select("a", "b").filter("a != b").distinct(), label)
+    spark = edges.sparkSession
+    now, path = stored(edges.select("a", "b").filter("a != b").distinct(), label)
     seen = None
     while True:
-        now = materialize(_small_star(_large_star(now)).filter("a != b").distinct(), label)
+        then, old = now, path
+        now, path = stored(_small_star(_large_star(then)).filter("a != b").distinct(), label)
+        remove_path(spark, old)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break

@@ -1,21 +1,26 @@
 """Exact n-gram Jaccard join by prefix filters under several global token orders.
 
 Two sets whose Jaccard similarity reaches t share a token among the first n - ceil(t n) + 1 of each, whatever global
-order sorts the tokens. So under every order, linked documents lie in one component of the graph "shares a prefix
-token"; under several orders they lie in one cell of the components' intersection. Only cells of two documents or more
-are verified, each pair exactly once. The orders put tokens that repeat most last and break ties differently.
+order sorts the tokens. So a pair is a candidate only if it shares a prefix token under every order: the filters are
+intersected pair by pair, and what is left is verified on the whole sets. The orders put tokens that repeat most last and
+break ties differently.
+
+Pairs are looked for within cells, so that no list of pairs is ever built: under one order, linked sets lie in one
+component of the graph "shares a prefix token", and under several orders in one cell of the components' intersection.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm import words as W
 from strandline.llm.common import materialize, releasing, text_blocks
@@ -52,9 +57,16 @@ def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.nd
 
 def node_of(own: np.ndarray) -> int:
     """A signed 64-bit name of a set: equal sets have equal names."""
+    return int(names_of(own, np.array([0, len(own)]))[0])
+
+
+def names_of(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The names of the sets flat[a:b] between ``bounds``, none of them empty."""
+    at = bounds[:-1]
     with np.errstate(over="ignore"):
-        x = W.mix(own + W.U(0x632BE59BD9B4E019)).sum(dtype=W.U) ^ W.mix(W.mix(own) ^ W.U(len(own))).sum(dtype=W.U) * W.U(0x9E3779B97F4A7C15)
-    return int(W.mix(np.array([x], W.U)).view(np.int64)[0])
+        plain = np.add.reduceat(W.mix(flat + W.U(0x632BE59BD9B4E019)), at)
+        sized = np.add.reduceat(W.mix(W.mix(flat) ^ np.repeat(np.diff(bounds), np.diff(bounds)).astype(W.U)), at)
+        return W.mix(plain ^ sized * W.U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -82,38 +94,39 @@ def may_link(sketches: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
-def _members(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (doc_id, n, node, sketch) of each row, and how often tokens repeat within a task's share."""
+def _members(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts, the last column of ``rows``: the other columns with n and node of each row's set, and how
+    often tokens repeat within a task's share."""
+    kept = len(rows.columns) - 1
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[:kept]], *[T.StructField(c, T.LongType()) for c in ("n", "node", "token", "times")]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
+        held, n_held, kinds = [], 0, []
 
         def repeated() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
-            nulls = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(len(tokens), pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts)], names=names)
+            absent = [pa.nulls(len(tokens), t) for t in (*kinds, pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*absent, pa.array(tokens.view(np.int64)), pa.array(counts)], names=schema.names)
 
-        names = ["doc_id", "n", "node", "sketch", "token", "times"]
         for batch in batches:
-            ns, nodes, sketches = [], [], []
-            for _, own in text_sets(batch.column(1), width):
+            kinds = [c.type for c in batch.columns[:kept]]
+            ns, nodes = [], []
+            for _, own in text_sets(batch.column(kept), width):
                 ns.append(len(own))
                 nodes.append(node_of(own) if len(own) else None)
-                sketches.append(sketch(own) if len(own) else None)
                 held.append(own)
                 n_held += len(own)
                 if n_held >= COUNTED:
                     yield repeated()
                     held, n_held = [], 0
-            nulls = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), nulls, nulls], names=names)
+            absent = pa.nulls(len(ns), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), absent, absent], names=schema.names)
         if held:
             yield repeated()
 
-    both = docs.mapInArrow(releasing(scan), "doc_id long, n long, node long, sketch binary, token long, times long")
-    both = materialize(both, "near-members")
-    return both.filter("times is null").select("doc_id", "n", "node", "sketch"), both.filter("times is not null").select("token", "times")
+    both = materialize(rows.mapInArrow(releasing(scan), schema), "near-members")
+    return both.filter("times is null").drop("token", "times"), both.filter("times is not null").select("token", "times")
 
 
 def _frequent(repeats: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +165,36 @@ def prefix(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int,
     return own if size >= n else own[np.argpartition(_rank(own, tokens, classes, order), size - 1)[:size]]
 
 
-def _prefixes(shared, order: int, percent: int):
+#: A function, called in each task, that gives a function of a batch, which yields (node, size, tokens) of sets; tokens are
+#: worked out by a call, as sets that a task has met already aren't looked at again.
+Pull = Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[int, int, Callable[[], np.ndarray]]]]]
+
+
+def _first_order(shared, percent: int, width: int) -> Pull:
+    """Prefixes under the first order, from texts."""
+
     def make():
         tokens, classes = shared.value
-        return lambda own: prefix(own, tokens, classes, order, percent)
+
+        def pull(batch: pa.RecordBatch):
+            for _, own in text_sets(batch.column(0), width):
+                if len(own):
+                    yield node_of(own), len(own), partial(prefix, own, tokens, classes, 0, percent)
+
+        return pull
+
+    return make
+
+
+def _later_order(order: int, orders: int) -> Pull:
+    """Prefixes under another order, from the table of sets (node, n, filters)."""
+
+    def make():
+        def pull(batch: pa.RecordBatch):
+            for node, n, filters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield node, n, lambda filters=filters: np.frombuffer(filters, W.U).reshape(orders, -1)[order]
+
+        return pull
 
     return make
 
@@ -201,16 +240,12 @@ def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) ->
     return pairs[:, 0], pairs[:, 1], order[keep]
 
 
-def chained(docs: DataFrame, items, tokens_of, alive, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) that join all sets which share a token of ``tokens_of`` and whose sizes allow a link.
-
-    ``items`` yields (row, set) from a text column; ``tokens_of``, called in each task, gives the function of a set.
-    """
+def chained(rows: DataFrame, pull: Pull, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) that join all sets which share a token and whose sizes allow a link; ``pull`` gives sets and tokens."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = tokens_of()
-        bits = alive.value if alive is not None else None
-        held: dict[int, np.ndarray] = {}
+        sets_of = pull()
+        held: dict[int, tuple[np.ndarray, int]] = {}
         n_held = 0
 
         def flush() -> pa.RecordBatch:
@@ -233,9 +268,9 @@ def chained(docs: DataFrame, items, tokens_of, alive, percent: int, buckets: int
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
         for batch in batches:
-            for _, own in items(batch.column(0)):
-                if len(own) and ((node := node_of(own)) not in held) and (bits is None or bits[node % SURVIVOR_BITS]):
-                    held[node] = (make(own), len(own))
+            for node, n, tokens_of in sets_of(batch):
+                if node not in held:
+                    held[node] = (tokens_of(), n)
                     n_held += len(held[node][0])
                     if n_held >= CHUNK_ROWS:
                         yield flush()
@@ -276,28 +311,78 @@ def chained(docs: DataFrame, items, tokens_of, alive, percent: int, buckets: int
         if pairs:
             yield edges()
 
-    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket int, rows binary")
+    dealt = rows.mapInArrow(releasing(deal), "bucket int, rows binary")
     # a task's own edges carry no bucket: they are spread by their content
     spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket"))
     return dealt.repartition(spread).sortWithinPartitions("bucket").mapInArrow(releasing(meet), "a long, b long")
 
 
-def alive_sets(docs: DataFrame, items, alive) -> DataFrame:
-    """(node, hashes) of the distinct sets that are still alive."""
+#: Hashes that leave a task in one batch.
+BATCH_HASHES = 1_000_000
+
+
+def alive_sets(rows: DataFrame, pull, alive) -> DataFrame:
+    """(node, n, hashes, payload, filters) of the distinct sets that are still alive, written to the shared folder.
+
+    ``pull``, called in each task, gives a function of a batch that yields node, set and a function that gives payload
+    (a sketch, and shortened filter tokens) and filters (whole ones).
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = alive.value
+        bits, sets_of, seen = alive.value, pull(), set()
+        held: list[tuple[int, np.ndarray, bytes, bytes]] = []
+        n_held = 0
+
+        def flush() -> pa.RecordBatch:
+            nodes, sets, payloads, filters = zip(*held, strict=True)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(offsets)), lists, pa.array(payloads, pa.binary()), pa.array(filters, pa.binary())], names=["node", "n", "hashes", "payload", "filters"])
+
         for batch in batches:
-            rows = {}
-            for _, own in items(batch.column(0)):
-                if len(own) and bits[(node := node_of(own)) % SURVIVOR_BITS]:
-                    rows[node] = own
-            if rows:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows.values()])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(list(rows.values())).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), lists], names=["node", "hashes"])
+            for node, own, more in sets_of(batch):
+                if bits[node % SURVIVOR_BITS] and node not in seen:
+                    seen.add(node)
+                    held.append((node, own.copy(), *more()))
+                    n_held += len(own)
+                    if n_held >= BATCH_HASHES:
+                        yield flush()
+                        held, n_held = [], 0
+        if held:
+            yield flush()
+
+    found = rows.mapInArrow(releasing(scan), "node long, n long, hashes array<long>, payload binary, filters binary")
+    return materialize(found.dropDuplicates(["node"]), "near-sets")
+
+
+def _filtered(shared, percent: int, width: int, orders: int):
+    """Sets of texts with their sketch and their prefixes under all orders."""
+
+    def make():
+        tokens, classes = shared.value
 
-    return docs.select("text").mapInArrow(scan, "node long, hashes array<long>").dropDuplicates(["node"])
+        def more(own: np.ndarray) -> tuple[bytes, bytes]:
+            filters = np.concatenate([prefix(own, tokens, classes, order, percent) for order in range(orders)])
+            return sketch(own) + filters.astype(np.uint32).tobytes(), filters.tobytes()
+
+        def pull(batch: pa.RecordBatch):
+            for _, own in text_sets(batch.column(0), width):
+                if len(own):
+                    yield node_of(own), own, partial(more, own)
+
+        return pull
+
+    return make
+
+
+def may_pair(payloads: list[bytes], n: np.ndarray, percent: int, orders: int) -> np.ndarray:
+    """Which pairs share a filter token under every order, and a similarity that their sketches allow."""
+    cuts = [max(64, 1 << (int(k) - 1).bit_length()) // 8 for k in n]
+    out = may_link([x[:cut] for x, cut in zip(payloads, cuts, strict=True)], n, percent)
+    filters = [np.frombuffer(x, np.uint32, offset=cut).reshape(orders, -1) for x, cut in zip(payloads, cuts, strict=True)]
+    for order in range(orders):
+        out &= overlaps([x[order] for x in filters]) > 0
+    return out
 
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
@@ -333,13 +418,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def block_pairs(sets: DataFrame, scan) -> DataFrame:
-    """Deal (cell, node, n, times, payload) over pairs of blocks of their cells and run ``scan`` over each pair."""
-    blocks = sets.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
+def block_pairs(sets: DataFrame, cells: DataFrame, scan) -> DataFrame:
+    """Deal (cell, node, n, times, payload and perhaps hashes) over pairs of blocks of their cells and run ``scan`` over each
+    pair; ``cells`` has a row for each set, which is all that the numbers of blocks are counted from."""
+    blocks = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.join(blocks, "cell").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "n", "times", "payload")
-    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(scan, "a long, b long, links long")
+    rest = [c for c in ("n", "times", "payload", "hashes") if c in sets.columns]
+    pairs = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *rest)
+    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(releasing(scan), "a long, b long, links long")
 
 
 def _links(near_of):
@@ -347,7 +434,7 @@ def _links(near_of):
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
         nodes, side, n, times = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
-        near = near_of([r[4] for r in rows], n)
+        near = near_of([r[4] for r in rows], n, [r[5] for r in rows] if len(rows[0]) > 5 else None)
         np.fill_diagonal(near, False)
         if side.any():  # two blocks: pairs across only
             near &= side[:, None] != side[None, :]
@@ -369,43 +456,79 @@ def _links(near_of):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            payload = batch.column(7)
-            if pa.types.is_list(payload.type):
-                bounds, hashes = payload.offsets.to_numpy(), payload.values.to_numpy().view(W.U)
-                payload = [hashes[a:b].copy() for a, b in zip(bounds, bounds[1:], strict=False)]
-            else:
-                payload = payload.to_pylist()
-            for k, (cell, i, j, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
+            columns = [c.to_pylist() for c in batch.columns[:8]]
+            if batch.num_columns > 8:
+                bounds, hashes = batch.column(8).offsets.to_numpy(), batch.column(8).values.to_numpy().view(W.U)
+                columns.append([hashes[a:b].copy() for a, b in zip(bounds, bounds[1:], strict=False)])
+            for cell, i, j, *row in zip(*columns, strict=True):
                 if (cell, i, j) != key:
                     if len(held) > 1:
                         yield links(held)
                     key, held = (cell, i, j), []
-                held.append((*row, payload[k]))
+                held.append(tuple(row))
         if len(held) > 1:
             yield links(held)
 
     return scan
 
 
-def verified(percent: int):
-    def near(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        both = overlaps(sets)
-        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
-
-    return _links(near)
-
-
-def links_of_cells(docs: DataFrame, items, classes: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+def links_of_cells(sets: DataFrame, classes: DataFrame, cells: DataFrame, percent: int, orders: int = 1) -> DataFrame:
     """(a, b, links): a spanning forest (a, b) of the links within cells, and (a, null, links) with numbers of linked rows.
 
-    ``classes`` has node, n, times and sketch of each set, ``cells`` the cell of those that may link.
+    ``sets`` is as :func:`alive_sets` gives it, ``classes`` has node and times of each set, ``cells`` the cell of those that
+    may link. A first round compares filters and sketches alone, so that whole sets travel only where a pair passes them; a
+    pair counts as a link if it passes them and its exact similarity suffices.
     """
-    sets = classes.withColumnRenamed("sketch", "payload").join(cells, "node")
-    near = block_pairs(sets, _links(lambda sketches, n: may_link(sketches, n, percent)))
+    def candidates(payloads, n, _):
+        return may_pair(payloads, n, percent, orders)
+
+    def verified(payloads, n, hashes):
+        both = overlaps(hashes)
+        return (100 * both >= percent * (n[:, None] + n[None, :] - both)) & may_pair(payloads, n, percent, orders)
+
+    known = classes.select("node", "times")
+    light = sets.select("node", "n", "payload").join(known, "node").join(cells, "node")
+    near = block_pairs(light, cells, _links(candidates))
     cells = materialize(connected_components(near.filter("b is not null").select("a", "b"), "near-cells").withColumnRenamed("root", "cell"), "near-cells")
-    alive = docs.sparkSession.sparkContext.broadcast(bitmap(cells))
-    sets = alive_sets(docs, items, alive).join(sets.drop("cell", "payload").join(cells, "node"), "node").withColumnRenamed("hashes", "payload")
-    return materialize(block_pairs(sets, verified(percent)), "near-links")
+    whole = sets.select("node", "n", "payload", "hashes").join(known, "node").join(cells, "node")
+    return materialize(block_pairs(whole, cells, _links(verified)), "near-links")
+
+
+@dataclass
+class Linked:
+    """The rows of a table with n and node of their sets, and the linked sets: their roots and numbers of linked rows."""
+
+    members: DataFrame
+    classes: DataFrame
+    roots: DataFrame
+    degrees: DataFrame
+
+
+def _linked(rows: DataFrame, width: int, percent: int, orders: int, frequent: int) -> Linked:
+    """All links among the texts in the last column of ``rows``."""
+    if not 1 <= orders <= len(_SEEDS):
+        raise ValueError(f"there can be 1 to {len(_SEEDS)} orders")
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    texts = rows.select(F.col(rows.columns[-1]).alias("text"))
+    members, repeats = _members(rows, width)
+    shared = sc.broadcast(_frequent(repeats, frequent))
+    total = members.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("rows")).first().rows
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
+    cells = connected_components(chained(texts, _first_order(shared, percent, width), percent, buckets), "near-cells")
+    cells = materialize(cells.withColumnRenamed("root", "cell"), "near-cells")
+    sets = alive_sets(texts, _filtered(shared, percent, width, orders), sc.broadcast(bitmap(cells)))
+    for order in range(1, orders):
+        mine = sets.select("node", "n", "filters").join(cells.select("node"), "node", "left_semi")
+        found = connected_components(chained(mine, _later_order(order, orders), percent, buckets), "near-cells")
+        both = cells.join(found, "node")
+        names = both.groupBy("cell", "root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+        cells = materialize(both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell")), "near-cells")
+    classes = members.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
+    found = links_of_cells(sets, classes, cells, percent, orders)
+    roots = connected_components(found.filter("b is not null"), "near-links")
+    degrees = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    return Linked(members, classes, roots, degrees)
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, orders: int = 2, frequent: int = FREQUENT) -> DataFrame:
@@ -419,40 +542,39 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. Sets are compared by 64-bit hashes of their shingles. Other columns are not carried.
 
     Exact for any table: no group, cell or candidate list is capped. What is broadcast is bounded by ``frequent`` tokens
-    and a bitmap of fixed size. Equal sets are collapsed first; a cell of many documents is verified block by block.
+    and a bitmap of fixed size. Equal sets are collapsed first; a cell of many documents is filtered and verified block
+    by block, so that its work grows with the square of its blocks.
     """
-    if not 1 <= orders <= len(_SEEDS):
-        raise ValueError(f"there can be 1 to {len(_SEEDS)} orders")
-    sc = df.sparkSession.sparkContext
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    items = partial(text_sets, width=width)
-    members, repeats = _members(docs, width)
-    shared = sc.broadcast(_frequent(repeats, frequent))
-    total = members.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("rows")).first().rows
-    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
-    cells = alive = None
-    for order in range(orders):
-        found = connected_components(chained(docs, items, _prefixes(shared, order, percent), alive, percent, buckets), "near-cells")
-        if cells is None:
-            cells = found.withColumnRenamed("root", "cell")
-        else:
-            both = cells.join(found, "node")
-            names = both.groupBy("cell", "root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-            cells = both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell"))
-        cells = materialize(cells, "near-cells")
-        alive = sc.broadcast(bitmap(cells))
-    classes = members.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), F.first("sketch").alias("sketch"))
-    found = links_of_cells(docs, items, classes, cells, percent)
-    roots = connected_components(found.filter("b is not null"), "near-links")
-    degrees = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    classes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
-    classes = classes.join(roots, "node", "left").join(degrees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = _linked(rows, width, percent, orders, frequent)
+    classes = found.members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    classes = classes.join(found.roots, "node", "left").join(found.degrees, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(names, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    return members.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.members.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``df`` with one row of each group of similar documents, the one with the least id; rows with a null id stay."""
-    found = similar_documents(df, id_col, **options).filter("doc_id is null or doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(found.filter("_gone is not null").distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, orders: int = 2, frequent: int = FREQUENT) -> DataFrame:
+    """``df`` with one row of each group of similar texts, columns and their names unchanged whatever these are.
+
+    Groups are the components of links of :func:`similar_documents`. The row with the least id stays, of several with that
+    id one by a hash of all columns, and of rows that are equal in every column exactly one. Two different texts under one
+    id are two rows, each judged by its own text. Rows with a null id always stay, and take no other row's place; so do
+    null and empty texts, and texts without words, which link with nothing. An empty table gives an empty result.
+    """
+    names = df.columns
+    inner = df.toDF(*[f"c{k}" for k in range(len(names))])
+    own = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in inner.schema.fields]
+    doc, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    rows = inner.select("*", F.col(doc).cast("long").alias("doc_id"), F.xxhash64(*own).alias("row_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("scanned"))
+    found = _linked(rows, width, percent, orders, frequent)
+    free = F.col("node").isNull() | F.col("doc_id").isNull()
+    bound = found.members.filter(~free)
+    each = bound.groupBy("node", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    first = each.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "node", "times")).alias("first"))
+    rooted = first.join(found.roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    winners = materialize(rooted.select("first.*").select("node", "row_key", "doc_id", "times"), "near-winners")
+    stay = bound.join(winners, ["node", "row_key", "doc_id"])
+    if not winners.filter("times > 1").isEmpty():
+        stay = stay.filter("times = 1").unionByName(stay.filter("times > 1").dropDuplicates(["node", "row_key", "doc_id"]))
+    return stay.select(inner.columns).union(found.members.filter(free).select(inner.columns)).toDF(*names)

@@ -49,21 +49,20 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def windows(column: pa.Array, run: int, gram: int):
     """For each block of texts with a window: (first row, row of each window, anchors, word hashes, numbers of words in
-    their texts, first bytes and ends of words, offsets, bytes, numbers of the windows' first words, hashes of texts)."""
+    their texts, first bytes and ends of words, offsets, bytes, numbers of the windows' first words)."""
     for first, _, raw, offs in text_blocks(column):
         low = W.LOWER[raw]
         starts, ends = W.runs(low, offs, W.NOT_SPACE)
         if len(starts) < run:
             continue
-        both = W.word_hashes(low, np.concatenate([starts, offs[:-1]]), np.concatenate([ends, offs[1:]]))
-        hashes, texts = both[: len(starts)], both[len(starts) :]
+        hashes = W.word_hashes(low, starts, ends)
         at = W.doc_word_offsets(starts, offs)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(at))
         begin = np.flatnonzero(row[: len(row) - run + 1] == row[run - 1 :])  # windows don't cross texts
         if len(begin):
             # a bijection spreads the least hashes, which are small numbers
             anchors = W.mix(sliding_least(rolling(hashes, gram), run - gram + 1))[begin]
-            yield first, row[begin], anchors, hashes, at, starts, ends, offs, raw, begin, texts
+            yield first, row[begin], anchors, hashes, at, starts, ends, offs, raw, begin
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -149,7 +148,7 @@ _COLUMNS = {"hash": np.uint64, "key": np.int64, "text": np.uint64, "word": np.ui
 
 
 def _shared_windows(docs: DataFrame, run: int, gram: int, buckets: int, shared) -> DataFrame:
-    """For documents (key, text) the windows that others hold too: their first words, characters and first documents."""
+    """The windows that several documents hold, by part: texts, first words, characters and first documents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -164,7 +163,8 @@ def _shared_windows(docs: DataFrame, run: int, gram: int, buckets: int, shared)
 
         for batch in batches:
             keys = _keys(batch.column(0))
-            for first, row, anchors, hashes, at, starts, ends, offs, raw, begin, texts in windows(batch.column(1), run, gram):
+            texts = batch.column(2).to_numpy().view(W.U)
+            for first, row, anchors, hashes, at, starts, ends, offs, raw, begin in windows(batch.column(1), run, gram):
                 bit = (anchors >> W.U(64 - MAP_BITS)).astype(np.int64)
                 found = np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
                 if not len(found):
@@ -173,7 +173,7 @@ def _shared_windows(docs: DataFrame, run: int, gram: int, buckets: int, shared)
                 chars = np.zeros(len(raw) + 1, np.int64)
                 np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
                 base = chars[offs[row]]
-                values = (rolling(hashes, run)[begin], keys[first + row], texts[row], begin - at[row], chars[starts[begin]] - base, chars[ends[begin + run - 1]] - base)
+                values = (rolling(hashes, run)[begin], keys[first + row], texts[first + row], begin - at[row], chars[starts[begin]] - base, chars[ends[begin + run - 1]] - base)
                 held.append([x.astype(t) for x, t in zip(values, _COLUMNS.values(), strict=True)])
                 n_held += len(found)
                 if n_held >= CHUNK_ROWS:
@@ -183,69 +183,80 @@ def _shared_windows(docs: DataFrame, run: int, gram: int, buckets: int, shared)
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close() -> pa.RecordBatch:
+        found, n_found = [], 0
+
+        def close() -> None:
+            nonlocal n_found
             value, key, text, word, start, end = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), _COLUMNS.values(), strict=True))
             by = np.argsort(value, kind="stable")
             heads = _cuts(value[by])[:-1]
             least, most = np.minimum.reduceat(key[by], heads), np.maximum.reduceat(key[by], heads)
             sizes = np.diff(np.append(heads, len(by)))
             stay = np.repeat(least != most, sizes)
-            origin, by = np.repeat(least, sizes)[stay], by[stay]
-            order = np.lexsort((text[by], key[by]))
-            origin, by = origin[order], by[order]
-            key, text = key[by], text[by]
-            new = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (text[1:] != text[:-1])) + 1, [len(by)]]) if len(by) else np.zeros(1, np.int64)
-            heads = new[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(key[heads]), pa.array(text[heads].view(np.int64)), *(_blobs(x, new) for x in (word[by], start[by], end[by], origin))], names=["key", "text", "word", "start", "end", "origin"])
+            by = by[stay]
+            if len(by):
+                found.append((key[by], text[by], word[by], start[by], end[by], np.repeat(least, sizes)[stay]))
+                n_found += len(by)
+
+        def flush() -> pa.RecordBatch:
+            rows = [np.concatenate(x) for x in zip(*found, strict=True)]
+            part = (W.mix(rows[0].view(W.U) ^ rows[1]) % W.U(buckets)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            cuts = _cuts(part[by])
+            return pa.RecordBatch.from_arrays([pa.array(part[by][cuts[:-1]], pa.int32()), *(_blobs(x[by], cuts) for x in rows)], names=["part", *_PIECE])
 
         name, held = None, []
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != name:
                     if held:
-                        yield close()
+                        close()
                     name, held = bucket, []
+                    if n_found >= CHUNK_ROWS:
+                        yield flush()
+                        found, n_found = [], 0
                 held.append(row)
         if held:
-            yield close()
+            close()
+        if found:
+            yield flush()
 
     dealt = docs.mapInArrow(releasing(deal), "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(meet), "key long, text long, word binary, start binary, end binary, origin binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(meet), "part int, " + ", ".join(f"{c} binary" for c in _PIECE))
+
+
+#: What goes back to the texts: each shared window's text, first word, characters and first document.
+_PIECE = {"key": np.int64, "text": np.uint64, "word": np.uint32, "start": np.uint32, "end": np.uint32, "origin": np.int64}
+_SPAN = ["key", "text", "start", "end", "words", "origin"]
 
 
 def _joined(run: int):
-    """Scan of sorted (key, text) pieces: the spans of each text."""
+    """Scan of shared windows, sorted by part of the texts: the spans of each text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def close() -> None:
-            word, start, end, origin = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint32, np.uint32, np.uint32, np.int64), strict=True))
-            word, by = np.unique(word.astype(np.int64), return_index=True)  # repeated rows are one document
-            start, end, origin = start[by], end[by], origin[by]
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(word) > 1) | (np.diff(origin) != 0)) + 1, [len(word)]])
+        def close() -> pa.RecordBatch:
+            key, text, word, start, end, origin = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), _PIECE.values(), strict=True))
+            by = np.lexsort((word, text, key))
+            key, text, word, start, end, origin = (x[by] for x in (key, text, word.astype(np.int64), start, end, origin))
+            other = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            once = np.concatenate([[True], other | (word[1:] != word[:-1])])  # repeated rows are one document
+            key, text, word, start, end, origin = (x[once] for x in (key, text, word, start, end, origin))
+            new = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (np.diff(word) > 1) | (origin[1:] != origin[:-1])
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(word)]])
             a, b = cuts[:-1], cuts[1:] - 1
-            out.extend((name[0], int(s), int(e), int(n), int(o)) for s, e, n, o in zip(start[a], end[b], word[b] - word[a] + run, origin[a], strict=True))
-
-        def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["key", "start", "end", "words", "origin"])
-            out.clear()
-            return batch
+            values = (key[a], text[a].view(np.int64), start[a].astype(np.int64), end[b].astype(np.int64), word[b] - word[a] + run, origin[a])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=_SPAN)
 
         name, held = None, []
         for batch in batches:
-            for key, text, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, text) != name:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != name:
                     if held:
-                        close()
-                    name, held = (key, text), []
-                    if len(out) >= 10_000:
-                        yield rows()
+                        yield close()
+                    name, held = part, []
                 held.append(row)
         if held:
-            close()
-        if out:
-            yield rows()
+            yield close()
 
     return scan
 
@@ -254,19 +265,21 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Spans of ``run`` words or more that stand verbatim in another document: one row for each place.
 
     doc_id, start and end (characters, end exclusive), n_words, cluster (the least id of the documents that hold the
-    span's windows) and removed, which is false in that document. Words are split at ASCII white space, A-Z lower-cased,
-    so spans run over lines. A span is a maximal sequence of neighbouring windows with one cluster; spans of several
-    clusters may overlap. Every window of ``run`` words that two documents hold is found; they are compared by 64-bit
-    hashes. A null id is one more document, which sorts first; equal rows count once, other texts under one id belong
-    to the same document.
+    span's windows) and removed, which is false in that document; text_id, the xxhash64 of the text, tells texts of one id
+    apart. Words are split at ASCII white space, A-Z lower-cased, so spans run over lines. A span is a maximal sequence of
+    neighbouring windows with one cluster; spans of several clusters may overlap. Every window of ``run`` words that two
+    documents hold is found; they are compared by 64-bit hashes. Null and empty texts, and those of fewer words, have no
+    spans. A null id is one more document, which sorts first; equal rows count once, other texts under one id belong
+    to the same document. An empty table gives an empty result; other columns are not carried.
     """
     gram = max(1, run * GRAM // RUN)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / BUCKET_ROWS))
     shared = df.sparkSession.sparkContext.broadcast(_shared_anchors(docs, run, gram, buckets))
     pieces = _shared_windows(docs, run, gram, buckets, shared)
-    found = pieces.repartition("key", "text").sortWithinPartitions("key", "text").mapInArrow(releasing(_joined(run)), "key long, start long, end long, words long, origin long")
+    found = pieces.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(_joined(run)), ", ".join(f"{c} long" for c in _SPAN))
     name = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = found.select(name("key").alias("doc_id"), "start", "end", F.col("words").alias("n_words"), name("origin").alias("cluster"), (F.col("key") != F.col("origin")).alias("removed"))
+    out = found.select(name("key").alias("doc_id"), F.col("text").alias("text_id"), "start", "end", F.col("words").alias("n_words"), name("origin").alias("cluster"), (F.col("key") != F.col("origin")).alias("removed"))
     return materialize(out, "spans")
