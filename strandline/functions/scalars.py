@@ -33,6 +33,11 @@ def gender_weight(resume: Column, position: Column) -> Column:
     return F.when(resume == "-", unknown).otherwise(known)
 
 
+def all_digits(col: Column) -> Column:
+    """Nothing but digits, points and minus signs, which is no promise that it is a number."""
+    return col.rlike("^[0-9.-]+$")
+
+
 def is_date_text(col: Column) -> Column:
     """Eight digits."""
     return col.rlike("^[0-9]{8}$")

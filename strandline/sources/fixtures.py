@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.sources.logs import DELIMITER
+
 #: Epochs in milliseconds, as text: registration of even and of odd ids.
 EARLY, LATE = "1701388800000", "1705276800000"
 #: Days that labels and features are about, and the first test day.
@@ -45,3 +47,31 @@ class Views:
 
     def positions(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("positionid"), F.floor(F.col("p_partkey") / 4).cast("bigint").alias("entid"), (F.col("p_size") % 10).cast("string").alias("salary"), (F.col("p_size") % 7).cast("string").alias("p_education"), F.col("p_name").alias("title"))
+
+    # raw lines, some of which the layouts reject: too short, too long, or with blanks at the end
+    def resume_lines(self) -> DataFrame:
+        k, nation, x = F.col("c_custkey"), F.col("c_nationkey"), F.lit("x")
+        gender = F.when(F.col("c_mktsegment") == "MACHINERY", "-").when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "0").otherwise("1")
+        added = F.when(k % 2 == 0, EARLY).otherwise(LATE)
+        head = [F.when(k % 19 == 0, "-").otherwise(k.cast("string")), k, F.col("c_mktsegment"), nation, F.lit("p"), k % 10, nation % 7, x, x, x, x, gender, x, k % 3, x, x, nation, k % 100, x]
+        rest = [added, nation % 10, *[x] * 12, F.when(k % 11 == 0, "").otherwise("z"), F.when(k % 13 == 0, "y")]
+        short = F.concat_ws(DELIMITER, *[c.cast("string") for c in head])
+        full = F.concat_ws(DELIMITER, short, *[c.cast("string") for c in rest])
+        return self.table("customer").select(k.alias("key"), F.when(k % 17 == 0, short).otherwise(full).alias("value"))
+
+    def position_lines(self) -> DataFrame:
+        p, size, x = F.col("p_partkey"), F.col("p_size"), F.lit("x")
+        added, posted = F.when(p % 2 == 0, EARLY).otherwise(LATE), F.when(p % 3 == 0, LATE).otherwise(EARLY)
+        fields = [F.when(p % 23 == 0, "-").otherwise(p.cast("string")), added, F.col("p_brand"), F.col("p_type"), F.lit("c"), x, F.col("p_name"), F.floor(p / 4), posted, *[x] * 5, size % 10, size % 7, size, F.lit("m"), *[x] * 5, F.when(p % 9 == 0, "").otherwise("z")]
+        return self.table("part").select(F.concat_ws(DELIMITER, *[c.cast("string") for c in fields]).alias("value"))
+
+    def download_lines(self) -> DataFrame:
+        rows, x = self.downloads(), F.lit("x")
+        down = F.when(F.col("entuserid") % 8 == 0, "").otherwise(F.date_format("downtime", "yyyy-MM-dd HH:mm:ss"))
+        fields = [x, x, F.col("entuserid"), x, F.floor(F.col("entuserid") / 4), x, x, F.col("resumeid"), F.col("resumeid"), x, x, x, down]
+        return rows.select(F.concat_ws(DELIMITER, *[c.cast("string") for c in fields]).alias("value"))
+
+    def delivery_lines(self) -> DataFrame:
+        rows, k = self.deliveries(), F.col("positionid")
+        fields = [F.lit("c"), k, F.floor(k / 4), F.col("resumeid"), F.col("userid"), F.col("deliverytime"), F.when(k % 6 == 0, "").otherwise((k % 5).cast("string"))]
+        return rows.select(F.concat_ws(DELIMITER, *[c.cast("string") for c in fields]).alias("value"))

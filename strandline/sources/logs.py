@@ -56,8 +56,41 @@ def parse_pairs(lines: DataFrame) -> DataFrame:
     return typed.filter("resumeid is not null and positionid is not null and time is not null")
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths)
+def parse_labelled(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """id, date (an integer like 20240131), label and features from lines like ``[id,20240131,(1.0, 2.0, 3.0)]``.
+
+    A line whose date is no day, or whose numbers aren't all numbers, gives date -1, label 0 and as many zeros as it has numbers,
+    the label included.
+    """
+    parts = F.split(line_col, ",")
+    numbers = F.split(F.regexp_extract(line_col, r"\(([^)]*)\)", 1), ", ")
+    raw = lines.select(F.substring_index(F.get(parts, 0), "[", -1).alias("id"), F.get(parts, 1).alias("day"), numbers.alias("raw")).withColumn("x", F.transform("raw", lambda v: v.try_cast("double")))
+    good = F.col("day").rlike("^[0-9]{8}$") & F.try_to_timestamp("day", F.lit("yyyyMMdd")).isNotNull() & F.forall("x", lambda v: v.isNotNull())
+    rows = raw.withColumn("good", F.coalesce(good, F.lit(False)))
+    pick = lambda value, other: F.when(F.col("good"), value).otherwise(other)
+    return rows.select("id", pick(F.col("day").try_cast("int"), -1).alias("date"), pick(F.get("x", F.lit(0)), 0.0).alias("label"), pick(F.slice("x", 2, F.size("x")), F.transform("raw", lambda v: F.lit(0.0))).alias("features"))
+
+
+def _numbers(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("double"))
+
+
+def parse_history(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """resumeid, clicks and deliveries from lines like ``(id,(WrappedArray(1.0, 0.0),WrappedArray(0.0, 2.0)))``."""
+    arrays = F.regexp_extract_all(line_col, F.lit(r"WrappedArray\(([^)]*)\)"), 1)
+    return lines.select(F.expr(f"substr(substring_index({line_col}, ',', 1), 2)").alias("resumeid"), _numbers(F.get(arrays, F.lit(0))).alias("clicks"), _numbers(F.get(arrays, F.lit(1))).alias("deliveries"))
+
+
+def parse_factors(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """id and v from lines like ``(id,WrappedArray(0.5, 0.25))``."""
+    v = F.regexp_extract(line_col, r"WrappedArray\(([^)]*)\)", 1)
+    return lines.select(F.expr(f"substr(substring_index({line_col}, ',', 1), 2)").alias("id"), _numbers(v).alias("v"))
+
+
+def read_parquet(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+    """Parquet files under paths, which may hold globs; columns in the folders' names below ``base`` are kept."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    return reader.parquet(*paths)
 
 
 def present(col: str) -> Column:
