@@ -1 +1 @@
-"""Reserved for streaming sources and sinks; the operators of this library are all batch operators."""
+"""Feature layers over unbounded logs."""
