@@ -38,9 +38,10 @@ def class_counts(samples: DataFrame) -> DataFrame:
 
 
 def undersample(samples: DataFrame, ids: list[str], seed: int = 11) -> DataFrame:
-    """All positives, and as many negatives by a hash of their ids as there are positives, or all if there are fewer."""
+    """All positives, and as many negatives, drawn by an MD5 of their ids, as there are positives, or all if there are fewer."""
     rate = samples.agg(F.least(F.lit(1.0), F.try_divide(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0))).alias("rate"))
-    share = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed)))
+    share = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return samples.crossJoin(F.broadcast(rate)).filter((F.col("label") == 1) | (share < F.coalesce("rate", F.lit(1.0)))).drop("rate")
 
 

@@ -6,6 +6,7 @@ them with ``score`` and ``prediction``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler, VectorIndexer, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 32793
@@ -76,12 +77,26 @@ def logistic(train: DataFrame, iterations: int = 10, weight: str | None = None,
 
 
 # own gradients
+def sparse(column: str = "features") -> Column:
+    """The entries of a vector column as a structure of indices and values; a dense vector has all."""
+    v = F.unwrap_udt(column)
+    size = F.size(v["values"])
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.col(column).isNotNull(), F.struct(F.when(v["type"] == 0, v["indices"]).otherwise(every).alias("indices"), v["values"].alias("values")))
+
+
+def _entries(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists one after the other, and how many each has."""
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Descent:
     """Full-batch gradient descent on the logistic loss, with an L2 penalty and steps that shrink with their number's root.
 
     ``gamma`` is the label that negatives are pulled to: the larger, the more are found positive. ``match`` weighs the
-    pull towards the neighbours' features (column ``neighbours``, arrays side by side, null where there is none).
+    pull towards the neighbours' features (column ``neighbours``, an array of dense arrays or of :func:`sparse` entries, null
+    where there is none). Vectors stay sparse throughout.
     """
 
     step: float = 0.1
@@ -92,15 +107,25 @@ class Descent:
     match: float = 0.0
 
     def fit(self, train: DataFrame, weight: str | None = None) -> tuple[np.ndarray, list[float]]:
-        """Weights and the loss at each iteration. Each task sends one partial gradient; nothing else leaves it."""
-        columns = [vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
+        """Weights and the loss at each iteration.
+
+        Each task sums its gradient; sums of some tasks are added up in others, so that the driver gets about as many as the
+        root of the number of tasks.
+        """
+        v = sparse()
+        columns = [v["indices"].alias("k"), v["values"].alias("x"), F.col("label").cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
         if self.match:
-            columns.append(F.col("neighbours").alias("near"))
+            dense = not train.schema["neighbours"].dataType.simpleString().startswith("array<struct")
+            entries = lambda n: F.when(n.isNotNull(), F.struct(F.transform(n, lambda _, i: i).alias("indices"), n.alias("values")))
+            columns.append(F.transform("neighbours", entries).alias("near") if dense else F.col("neighbours").alias("near"))
+        width = F.max(F.coalesce(F.unwrap_udt("features")["size"], F.size(F.unwrap_udt("features")["values"])))
+        width = train.select(width.alias("n")).first().n or 0
         data = train.select(*columns).persist()
-        width = data.select(F.max(F.size("x")).alias("n")).first().n or 0
+        groups = max(1, math.isqrt(data.rdd.getNumPartitions()))
         weights, losses = np.zeros(width), []
         for t in range(1, self.iterations + 1):
-            rows = data.mapInArrow(self._partial(weights), "loss double, n double, gradient array<double>").collect()
+            partial = data.mapInArrow(self._partial(weights), _SUMS)
+            rows = (partial.repartition(groups).mapInArrow(_added, _SUMS) if groups > 2 else partial).collect()
             n = sum(r.n for r in rows)
             if not n:
                 break
@@ -117,38 +142,64 @@ class Descent:
 
     def _partial(self, weights: np.ndarray):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loss, n, total = 0.0, 0, np.zeros(len(weights))
+            loss, n, total, width = 0.0, 0, np.zeros(len(weights)), len(weights)
             for batch in batches:
-                if not batch.num_rows:
+                rows = batch.num_rows
+                if not rows:
                     continue
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                margin = -(x @ weights)
+                (k, sizes), (x, _) = _entries(batch.column(0)), _entries(batch.column(1))
+                y, w = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                own = np.repeat(np.arange(rows), sizes)
+                dots = np.bincount(own, weights=x * weights[k], minlength=rows)
+                margin = -dots
                 p = 1 / (1 + np.exp(np.clip(margin, -500, 500)))
                 target = np.where(y > 0.5, 1.0, self.gamma)
-                total += (w * (p - target)) @ x
+                factor = w * (p - target)
                 loss += float((w * (np.logaddexp(0, margin) - (1 - target) * margin)).sum())
-                n += batch.num_rows
+                n += rows
                 if self.match:
-                    near = batch.column(3).to_pylist()
-                    for own, others in zip(x, near, strict=True):
-                        for other in others or []:
-                            if other is not None:
-                                gap = np.array(other) - own
-                                pull = float(gap @ weights)
-                                total += 2 * self.match * pull * gap
-                                loss += self.match * pull * pull
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([float(n)]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["loss", "n", "gradient"])
+                    near, counts = batch.column(4).flatten(), batch.column(4).value_lengths().fill_null(0).to_numpy()
+                    there = near.is_valid().to_numpy(zero_copy_only=False)
+                    of, near = np.repeat(np.arange(rows), counts)[there], near.filter(pa.array(there))
+                    (nk, lengths), (nx, _) = _entries(near.field(0)), _entries(near.field(1))
+                    pull = np.bincount(np.repeat(np.arange(len(of)), lengths), weights=nx * weights[nk], minlength=len(of)) - dots[of]
+                    loss += self.match * float(pull @ pull)
+                    total += np.bincount(nk, weights=np.repeat(2 * self.match * pull, lengths) * nx, minlength=width)
+                    factor = factor - np.bincount(of, weights=2 * self.match * pull, minlength=rows)
+                total += np.bincount(k, weights=factor[own] * x, minlength=width)
+            yield _sums(loss, float(n), total)
 
         return scan
 
     def model(self, train: DataFrame, weight: str | None = None, threshold: float = 0.5) -> Model:
         weights, _ = self.fit(train, weight)
-        products = F.zip_with(vector_to_array("features"), F.lit([float(w) for w in weights]), lambda a, b: a * b)
+        # a list in one text is folded to a constant, where as many literals would swell the plan
+        table = F.expr(f"cast(split('{','.join(repr(float(w)) for w in weights)}', ',') as array<double>)") if len(weights) else F.array().cast("array<double>")
+        own = sparse()
+        products = F.zip_with(own["indices"], own["values"], lambda k, x: F.coalesce(F.get(table, k), F.lit(0.0)) * x)
         score = 1 / (1 + F.exp(-F.aggregate(products, F.lit(0.0), lambda s, x: s + x)))
         return lambda samples: samples.withColumn("score", score).withColumn("prediction", (F.col("score") > threshold).cast("int"))
 
 
+_SUMS = "loss double, n double, gradient array<double>"
+
+
+def _sums(loss: float, n: float, gradient: np.ndarray) -> pa.RecordBatch:
+    whole = pa.ListArray.from_arrays(pa.array([0, len(gradient)], pa.int32()), pa.array(gradient))
+    return pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n]), whole], names=["loss", "n", "gradient"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of several tasks' sums."""
+    loss, n, total = 0.0, 0.0, None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own = batch.column(2)[k].values.to_numpy()
+            loss, n, total = loss + batch.column(0)[k].as_py(), n + batch.column(1)[k].as_py(), own if total is None else total + own
+    if total is not None:
+        yield _sums(loss, n, total)
+
+
 # leaves of trees as features
 def leaf_encoder(train: DataFrame, boosted: bool = False, trees: int = 50, depth: int = 10, keep: list[str] | None = None, columns: list[int] | None = None):
     """A transformer of samples whose ``features`` become one slot for each leaf of each tree, beside columns to ``keep``.
