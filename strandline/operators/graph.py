@@ -11,7 +11,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import flag_weight
+from strandline.functions.scalars import flag_weight, normalized
 
 
 def pairs(actions: DataFrame, registrations: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -64,57 +64,71 @@ def latent_factors(weights: DataFrame, rank: int = 50, iterations: int = 10, reg
     return model.userFactors.join(names, "id").select(F.col("rid").cast("bigint").alias("resumeid"), F.col("features").cast("array<double>").alias("features"))
 
 
-def nearest(points: DataFrame, k: int, id_col: str = "id", vector_col: str = "v", block: int = 2048) -> DataFrame:
-    """The ``k`` nearest points of every point by squared distance of the normalised vectors, itself included.
+def _nearest(points: DataFrame, k: int, block: int, itself: bool, digits: int | None) -> DataFrame:
+    """For points (g, id, v) the ``k`` nearest of the same group g by squared distance, ties to the smaller id.
 
-    All points are asked for, against all points: blocks of both meet in tasks, and each keeps ``k`` of a block for each
-    point before these are ranked. Ties go to the smaller id.
+    Blocks of a group meet in tasks, two and two; each keeps ``k`` of a block for each point before these are ranked. A
+    product of matrices picks them, and their distances are then worked out one by one.
     """
-    use = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-use.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = use.select(own.alias("i"), spread.alias("j"), F.lit(True).alias("asks"), "id", "v")
-    there = use.select(spread.alias("i"), own.alias("j"), F.lit(False).alias("asks"), "id", "v")
+    blocks = points.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = points.join(blocks, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = dealt.select("g", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"), "id", "v")
+    there = dealt.select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(rows: list[tuple]) -> pa.RecordBatch:
-            ids, v, asks = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            v = v / np.where(norm == 0, 1, norm)
+        def answer() -> pa.RecordBatch:
+            ids, v, asks = (np.concatenate(x) for x in zip(*held, strict=True))
             q, qid, p, pid = v[asks], ids[asks], v[~asks], ids[~asks]
-            out = []
-            for x, name in zip(q, qid.tolist(), strict=True):
-                dist = ((p - x) ** 2).sum(axis=1)
-                best = np.lexsort((pid, dist))[:k]
-                out.append((np.full(len(best), name), pid[best], dist[best]))
+            squares, out = (p * p).sum(axis=1), []
+            for at in range(0, len(q), 256):
+                near = squares - 2 * (q[at : at + 256] @ p.T)  # less each query's own square
+                for x, name, rough in zip(q[at : at + 256], qid[at : at + 256].tolist(), near, strict=True):
+                    take = min(len(rough), k + 1) - 1
+                    cut = np.partition(rough, take)[take] if len(rough) else 0.0
+                    some = np.flatnonzero(rough <= cut + 1e-7 + 1e-9 * (abs(cut) + float(x @ x)))
+                    some = some if itself else some[pid[some] != name]
+                    dist = ((p[some] - x) ** 2).sum(axis=1)
+                    dist = dist if digits is None else np.round(dist, digits)
+                    best = np.lexsort((pid[some], dist))[:k]
+                    out.append((np.full(len(best), name), pid[some][best], dist[best]))
             a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d)], names=["id", "neighbour", "distance"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key[0])).cast(pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d)], names=["g", "id", "neighbour", "distance"])
 
         key, held = None, []
         for batch in batches:
-            for i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (i, j) != key:
+            names = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if tuple(names[a].tolist()) != key:
                     if held:
-                        yield answer(held)
-                    key, held = (i, j), []
-                held.append(tuple(row))
+                        yield answer()
+                    key, held = tuple(names[a].tolist()), []
+                part = batch.slice(a, b - a)
+                held.append((part.column(4).to_numpy().copy(), part.column(5).flatten().to_numpy().reshape(b - a, -1).copy(), part.column(3).to_numpy(zero_copy_only=False)))
         if held:
-            yield answer(held)
+            yield answer()
+
+    met = asked.union(there).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    found = met.mapInArrow(search, "g int, id bigint, neighbour bigint, distance double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("g", "id").orderBy("distance", "neighbour")).cast("bigint"))
+    return ranked.filter(F.col("rank") <= k)
 
-    found = asked.union(there).repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(search, "id bigint, neighbour bigint, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour")).cast("bigint"))
-    return ranked.filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+
+def nearest(points: DataFrame, k: int, id_col: str = "id", vector_col: str = "v", block: int = 2048) -> DataFrame:
+    """The ``k`` nearest points of every point by squared distance of the normalised vectors, itself included."""
+    v = normalized(F.col(vector_col).cast("array<double>"))
+    found = _nearest(points.select(F.lit(0).alias("g"), F.col(id_col).cast("bigint").alias("id"), v.alias("v")), k, block, True, None)
+    return found.select("id", "rank", "neighbour", "distance")
 
 
-def nearest_in_day(rows: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
+def nearest_in_day(rows: DataFrame, columns: list[str], k: int = 3, block: int = 2048) -> DataFrame:
     """The ``k`` resumes nearest to each resume on the same day by squared distance, itself excluded."""
-    v = rows.select("resumeid", "date", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    other = v.select(F.col("resumeid").alias("neighbour"), "date", F.col("v").alias("w"))
-    distance = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    joined = v.join(other, "date").filter("resumeid != neighbour").select("resumeid", "date", "neighbour", F.round(distance, 8).alias("distance"))
-    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("resumeid", "date").orderBy("distance", "neighbour")).cast("bigint"))
-    return ranked.filter(F.col("rank") <= k)
+    points = rows.select(F.unix_date("date").alias("g"), F.col("resumeid").cast("bigint").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    found = _nearest(points, k, block, False, 8)
+    return found.select(F.col("id").alias("resumeid"), F.date_from_unix_date("g").alias("date"), "neighbour", "distance", "rank")
 
 
 def neighbour_features(neighbours: DataFrame, features: DataFrame, columns: list[str], inner: bool = False) -> DataFrame:

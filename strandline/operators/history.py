@@ -22,6 +22,11 @@ def history_vectors(by_tag: DataFrame, deliveries: DataFrame) -> DataFrame:
     return maps.crossJoin(F.broadcast(axis)).select("resumeid", "dates", of("c").alias("clicks"), of("d").alias("deliveries"))
 
 
+def resume_dates(histories: DataFrame) -> DataFrame:
+    """Every resume with every observed day, by unrolling each resume's axis."""
+    return histories.select("resumeid", F.explode("dates").alias("date"))
+
+
 def _active(c: Column, d: Column) -> Column:
     return (c >= CLICKS) | (d > 0)
 
@@ -84,7 +89,7 @@ def _marks(histories: DataFrame) -> DataFrame:
 
 
 def _histogram(lengths: DataFrame) -> DataFrame:
-    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length")
 
 
 def active_day_histogram(histories: DataFrame) -> DataFrame:

@@ -172,14 +172,14 @@ _QUERIES = {
     "pf11_date_split": "select resume_id, date, label, 'train' as part from labelled where date <= date '2024-01-25' union all select resume_id, date, label, 'test' from labelled where date >= date '2024-01-25'",
     "ml28_id_index": "select resumeid, cast(dense_rank() over (order by resumeid) - 1 as bigint) as index from (select distinct resumeid from weights)",
     "jn2_click_triples": "select distinct r.resumeid, a.infoid as positionid, a.clicktime from actions a join registrations r using (userid)",
-    "jn22_factor_owners": "select distinct resumeid, cast(10 as bigint) as rank from weights where resumeid in (select resume_id from labelled where date >= date '2024-01-25')",
+    "jn22_factor_owners": "select distinct resumeid, cast(50 as bigint) as rank from weights where resumeid in (select resume_id from labelled where date between date '2024-01-25' and date '2024-01-30')",
     "ag23_class_counts": "select count(*) filter (label = 1) as positives, count(*) filter (label = 0) as negatives, round(count(*) filter (label = 1) / nullif(count(*) filter (label = 0), 0), 6) as ratio from labelled",
     "pf14_feature_slices": "select l.resume_id as resumeid, l.date, {sums} from labelled l join past p on l.resume_id = p.resumeid and l.date = p.date where p.history_active",
     "jn15_history_vectors": "select resumeid, string_agg(cast(c as varchar), ',' order by i) as clicks, string_agg(cast(d as varchar), ',' order by i) as deliveries from grid group by resumeid",
     "wn4_history_features": "select resumeid, date, history, history_active from past",
     "wn6_history_training": "select resumeid, cast(i + 4 as int) as day, cast(later as double) as label, features from ahead where i < n - 12 and busy = 1",
     "wn7_history_test": "select resumeid, cast(i - (n - 12) as int) as day, cast(later as double) as label, features from ahead where i >= n - 12 and i < n - 7 and n >= 12 and busy = 1",
-    "jn17_append_history": "select p.resumeid, p.date, l.label, false as made_up, p.history, l.click_count from labelled l join past p on l.resume_id = p.resumeid and l.date = p.date where l.resume_id % 3 > 0 and p.history_active union all select resumeid, date, cast(next5 as double), true, history, 0 from past where history_active and resumeid not in (select resume_id from labelled where resume_id % 3 > 0)",
+    "jn17_append_history": "select p.resumeid, p.date, l.label, false as made_up, p.history, l.click_count from labelled l join past p on l.resume_id = p.resumeid and l.date = p.date where p.history_active union all select resumeid, date, cast(next5 as double), true, history, 0 from past where history_active and resumeid not in (select resume_id from labelled)",
     "wn12_active_day_hist": "select length, count(*) as n from (select resumeid, count(*) filter (x) as length from grid group by resumeid) group by length",
     "wn10_activity_span": "select length, n from span_hist",
     "ag20_span_ratio": "select length, round(n / sum(n) over (), 6) as ratio from span_hist",
@@ -190,7 +190,6 @@ _QUERIES = {
     "so5_click_delivery_pairs": "select * from pairs",
     "ag15_pair_weights": "select * from weights",
     "ml25_path_counts": ", e as (select 'r' || cast(resumeid as varchar) as a, 'p' || cast(positionid as varchar) as b, cast(weight as double) as w from weights union all select 'p' || cast(positionid as varchar), 'r' || cast(resumeid as varchar), cast(weight as double) from weights), v0 as (select distinct a as node, 1.0::double as v from e), " + ", ".join(f"v{k} as (select e.b as node, sum(e.w * v.v) as v from e join v{k - 1} v on e.a = v.node group by e.b)" for k in range(1, 9)) + " select node, round(ln(v), 6) as log_paths from v8",
-    "jn23_knn_top_m": "select id, rank, neighbour, round(distance, 6) as distance from (select a.vec_id as id, b.vec_id as neighbour, a.d as distance, row_number() over (partition by a.vec_id order by a.d, b.vec_id) as rank from (select 1) z, lateral (select 1) y, (select 1) w) where false",
     "jn24_knn_in_day": "select resumeid, date, neighbour, distance, rank from near_day where rank <= 3",
     "jn18_neighbour_features": "select k.resumeid, k.date, " + ", ".join(f"max(case when rank = {n} then m.{c} end) as n{n}_{c}" for n in (1, 2, 3) for c in ("click_count", "delivery_count")) + " from near_day k left join merged m on k.neighbour = m.resume_id and k.date = m.date where k.rank <= 3 group by k.resumeid, k.date",
     "ag21_confusion_by_date": "select * from confusion",
@@ -200,11 +199,53 @@ _QUERIES = {
     "ml3_class_weights": "select resume_id, date, label, round(case when label = 1 then (select count(*) filter (label = 0) / count(*) from labelled) else (select count(*) filter (label = 1) / count(*) from labelled) end, 6) as weight from labelled",
     "ml16_time_weights": "select resume_id, date, label, round(exp(-0.1 * ((select max(dayofyear(date)) from labelled) - dayofyear(date))), 6) as weight from labelled",
 }
-_QUERIES["jn23_knn_top_m"] = (
+_NEAR = (
     ", u as (select vec_id, list_transform(embedding, lambda x: cast(x as double) / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * cast(y as double))))) as v from embeddings), "
-    "d as (select a.vec_id as id, b.vec_id as neighbour, round(2 - 2 * list_dot_product(a.v, b.v), 6) as distance from u a cross join u b) "
-    "select id, rank, neighbour, abs(distance) as distance from (select *, row_number() over (partition by id order by distance, neighbour) as rank from d) where rank <= 10"
+    "d as (select a.vec_id as id, b.vec_id as neighbour, 2 - 2 * list_dot_product(a.v, b.v) as distance from u a cross join u b) "
+    "select {columns} from (select *, row_number() over (partition by id order by distance, neighbour) as rank from d) where rank <= {k}"
 )
+_NEAR_COLUMNS = "id, rank, neighbour, abs(round(distance, 6)) as distance"
+_QUERIES |= {
+    "jn23_knn_top_m": _NEAR.format(columns=_NEAR_COLUMNS, k=100),
+    "sk6_neighbour_lines": _NEAR.format(columns=_NEAR_COLUMNS, k=20),
+    "sc15_factor_text": _NEAR.format(columns=_NEAR_COLUMNS, k=3),
+}
+
+# Raw lines: which rows of the tables become lines that a layout accepts, and with what texts.
+_ADDED = "case when {k} % 2 = 0 then '1701388800000' else '1705276800000' end"
+_RESUME_ID = "case when c_custkey % 19 = 0 then '-' else cast(c_custkey as varchar) end as resumeid, cast(c_custkey as varchar) as userid"
+_GENDER = "case when c_mktsegment = 'MACHINERY' then '-' when c_mktsegment in ('BUILDING', 'AUTOMOBILE') then '0' else '1' end as gender"
+_TEXTS = lambda **columns: ", ".join(f"cast({x} as varchar) as {c}" for c, x in columns.items())
+_RESUMES = f"select {_RESUME_ID}, {_TEXTS(nowposition='c_mktsegment', targetcategory='c_nationkey')}, 'p' as targetposition, {_TEXTS(targetsalary='c_custkey % 10', education='c_nationkey % 7')}, {_GENDER}, {_TEXTS(jobstate='c_custkey % 3', areaid='c_nationkey', complete='c_custkey % 100', nowsalary='c_nationkey % 10')} from customer where c_custkey % 17 <> 0 and c_custkey % 13 <> 0 and c_custkey % 11 <> 0"
+_REGISTERED = f"select {_RESUME_ID}, {_ADDED.format(k='c_custkey')} as adddate from customer where c_custkey % 17 <> 0"
+_POSITION = f"select case when p_partkey % 23 = 0 then '-' else cast(p_partkey as varchar) end as infoid, {_ADDED.format(k='p_partkey')} as adddate, p_brand as cate1, p_type as cate2, 'c' as cate3, p_name as title"
+_SLOT = "cast(regexp_extract(props, '[0-9]+') as bigint)"
+_QUERIES |= {
+    "sc2_registration_log": _REGISTERED,
+    "sc3_position_log": f"{_POSITION}, {_TEXTS(entid='p_partkey // 4', salary='p_size % 10', education='p_size % 7', experience='p_size')}, 'm' as trade from part where p_partkey % 9 <> 0",
+    "sc4_resume_log": _RESUMES,
+    "sc5_several_folders": f"{_REGISTERED} and c_custkey % 4 <> 2",
+    "sc6_download_log": f"select cast({_SLOT} as varchar) as entuserid, cast({_SLOT} // 4 as varchar) as entid, cast(user_id as varchar) as resumeuserid, cast(user_id as varchar) as resumeid, strftime(ts, '%Y-%m-%d %H:%M:%S') as downtime from events where event_type = 'signup' and {_SLOT} % 8 <> 0",
+    "sc7_delivery_log": f"select 'c' as cookieid, cast({_SLOT} as varchar) as infoid, cast({_SLOT} // 4 as varchar) as entuserid, cast(user_id as varchar) as resumeid, cast(user_id as varchar) as resumeuserid, cast(epoch_us(ts) // 1000 as varchar) as deliverytime, cast({_SLOT} % 5 as varchar) as slot from events where event_type = 'purchase' and {_SLOT} % 6 <> 0",
+    "sc8_position_count_log": f"{_POSITION}, case when p_partkey % 3 = 0 then '1705276800000' else '1701388800000' end as postdate from part where p_partkey % 9 <> 0",
+    "sc10_parquet_glob": "select resumeid, date, clicktag, clickcount from clicks where date between date '2024-01-10' and date '2024-01-19'",
+    "sc11_labelled_text": "select cast(resume_id as varchar) as id, case when bad then -1 else cast(strftime(date, '%Y%m%d') as int) end as date, case when bad then 0.0 else label end as label, case when bad then '0,0,0,0' else concat_ws(',', click_count, delivery_count, download_count) end as features from (select *, resume_id % 7 = 0 or resume_id % 11 = 0 as bad from labelled)",
+    "sc12_history_text": _QUERIES["jn15_history_vectors"],
+    "sc13_similar_index": "select cast(resumeid as varchar) as resumeid, strftime(date, '%Y%m%d') as date, " + ", ".join(f"cast(max(case when rank = {n} then neighbour end) as varchar) as n{n}" for n in (1, 2, 3)) + " from near_day where rank <= 3 group by near_day.resumeid, near_day.date having count(*) = 3",
+    "sk1_by_date": _QUERIES["ag1_user_clicks_daily"],
+    "sk2_single_file": f"select c_custkey as resumeid, {_TEXTS(targetsalary='c_custkey % 10', nowsalary='c_nationkey % 10', r_education='c_nationkey % 7')}, {_GENDER}, {_TEXTS(complete='c_custkey % 100')} from customer",
+    "sk3_parquet": _QUERIES["pf1_user_deliveries"],
+    "sk4_lines": "select resumeid, positionid, time, flag from pairs",
+    "pf2_present_resumes": f"{_RESUMES} and c_custkey % 19 <> 0",
+    "pf3_present_gender": f"select c_custkey as resumeid, {_GENDER} from customer where c_mktsegment <> 'MACHINERY'",
+    "pf7_digit_texts": "select c_custkey, c_custkey % 4 < 2 as digits, c_custkey % 4 = 0 as day from customer",
+    "pf8_posted_when_added": "select p_partkey as infoid, case when p_partkey % 2 = 0 then date '2023-12-01' else date '2024-01-15' end as date from part where p_partkey % 9 <> 0 and p_partkey % 23 <> 0 and (p_partkey % 2 = 0) = (p_partkey % 3 <> 0)",
+    "pf16_test_window": "select resume_id, date, label from labelled where date between date '2024-01-25' and date '2024-01-30'",
+    "sf2_epoch_suffix": "select resumeid, positionid, deliverytime, substr(deliverytime, 10) as suffix from deliveries",
+    "jn19_inner_neighbours": _QUERIES["jn18_neighbour_features"].replace("left join merged", "join merged") + " having count(*) = 3",
+    "jn20_resume_dates": "select resumeid, date from grid",
+    "ml1_undersample": "select l.resume_id, l.date, l.label from (select resume_id, date, 1 - label as label from labelled) l, (select least(1.0, count(*) filter (label = 0) / count(*) filter (label = 1)) as rate from labelled) r where l.label = 1 or cast('0x' || substr(md5(concat_ws('|', l.resume_id, l.date, '11')), 1, 8) as bigint) / 4294967296 < r.rate",
+}
 
 
 def _final(text: str) -> str:
