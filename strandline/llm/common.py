@@ -131,13 +131,14 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield (first row, end row, bytes, offsets from 0) so that a block holds whole texts of about ``block_bytes``."""
+def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yield (first row, end row, bytes, offsets from 0) so that a block holds whole texts of about ``block_bytes``, and at
+    most ``most_rows``."""
     raw, offs = string_buffers(column)
     rows, first = len(offs) - 1, 0
     while first < rows:
         end = max(first + 1, int(np.searchsorted(offs, offs[first] + block_bytes, side="right")) - 1)
-        end = min(end, rows)
+        end = min(end, rows, first + most_rows)
         yield first, end, raw[offs[first] : offs[end]], offs[first : end + 1] - offs[first]
         first = end
 

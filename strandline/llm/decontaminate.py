@@ -6,7 +6,6 @@ text is cut into the same windows; a hash that is found is verified against the
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import words as W
-from strandline.llm.common import append_columns, text_blocks
+from strandline.llm.common import append_columns, cut_text, fresh_name, text_blocks
 
 #: Consecutive words that make a window.
 WINDOW = 10
@@ -94,13 +93,8 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_FIELDS = [
-    T.StructField("n_words", T.LongType()),
-    T.StructField("n_hit", T.LongType()),
-    T.StructField("hit_words", _SPANS),
-    T.StructField("hit_chars", _SPANS),
-    T.StructField("items", T.ArrayType(T.StringType())),
-]
+#: What a pass finds out about each document.
+FOUND = {"n_words": T.LongType(), "n_hit": T.LongType(), "hit_words": _SPANS, "hit_chars": _SPANS, "items": T.ArrayType(T.StringType())}
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -108,7 +102,9 @@ def _as_spans(values: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"start": a, "end": b} for a, b in v] for v in values], _ARROW_SPANS)
 
 
-def _scanner(shared, text_col: str, chained: bool):
+def _scanner(shared, text_col: str, before: dict[str, str] | None):
+    """A scan for one piece of the benchmark; ``before`` names the columns in which the earlier pieces' hits stand."""
+
     def make():
         windows = shared.value
 
@@ -125,12 +121,12 @@ def _scanner(shared, text_col: str, chained: bool):
                     by_word[first + doc] = merge([(a, b) for a, b, _, _ in spans])
                     by_char[first + doc] = merge([(int(chars[a]), int(chars[b])) for _, _, a, b in spans])
                     items[first + doc] = sorted(found[doc])
-            if chained:  # the earlier passes' hits stand in the batch
-                for name, own in (("_words", by_word), ("_chars", by_char)):
-                    for k, old in enumerate(batch.column(batch.schema.get_field_index(name)).to_pylist()):
+            if before:
+                for name, own in (("hit_words", by_word), ("hit_chars", by_char)):
+                    for k, old in enumerate(batch.column(batch.schema.get_field_index(before[name])).to_pylist()):
                         if old:
                             own[k] = merge([*own[k], *((x["start"], x["end"]) for x in old)])
-                for k, old in enumerate(batch.column(batch.schema.get_field_index("_items")).to_pylist()):
+                for k, old in enumerate(batch.column(batch.schema.get_field_index(before["items"])).to_pylist()):
                     if old:
                         items[k] = sorted({*items[k], *old})
             total = pa.array([sum(b - a for a, b in s) for s in by_word], pa.int64())
@@ -151,6 +147,19 @@ def _chunks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
         yield [(r.item, r.text) for r in own.collect()]
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, bench_col: str, broadcast_bytes: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns of FOUND under names that no other column bears, and those names."""
+    sc, out, before = docs.sparkSession.sparkContext, docs, None
+    for chunk in _chunks(benchmark, item_col, bench_col, broadcast_bytes):
+        names = {c: fresh_name(c) for c in FOUND}
+        fields = [T.StructField(names[c], kind) for c, kind in FOUND.items()]
+        out = append_columns(out, fields, _scanner(sc.broadcast(WindowSet(chunk, window)), text_col, before), text_col)
+        if before:
+            out = out.drop(*before.values())
+        before = names
+    return out, before
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_words, hit_chars (merged half-open spans) and items (ids, sorted as strings).
 
@@ -158,20 +167,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     consecutive words of an item, or all words of an item that has fewer. Each word inside any occurrence is hit once,
     however many windows cover it. A null or empty text has no words and no hits; an item without words, or without an
     id, matches nothing; items that share an id count once; repeated documents are each scanned. Input columns that
-    bear the name of a result column are replaced. An empty benchmark leaves everything clean.
+    bear the name of a result column are replaced; all others stay. An empty benchmark leaves everything clean, and an
+    empty table of documents gives an empty result.
 
-    One broadcast holds at most about ``broadcast_bytes`` of benchmark text; a larger benchmark is split by hash into
-    several passes, chained within the same tasks and without a shuffle.
+    The benchmark comes to the driver in pieces of at most about ``broadcast_bytes`` of text; each is broadcast for a pass
+    of its own. The passes run one after the other within the same tasks, without a shuffle, and give the same rows however
+    many they are.
     """
-    sc, out, first = docs.sparkSession.sparkContext, docs, True
-    for chunk in _chunks(benchmark, item_col, bench_col, broadcast_bytes):
-        if not first:
-            out = out.withColumnsRenamed({"hit_words": "_words", "hit_chars": "_chars", "items": "_items"})
-        out = append_columns(out, _FIELDS, _scanner(sc.broadcast(WindowSet(chunk, window)), text_col, not first), text_col)
-        if not first:
-            out = out.drop("_words", "_chars", "_items")
-        first = False
-    return out
+    out, names = _found(docs, benchmark, window, text_col, item_col, bench_col, broadcast_bytes)
+    kept = [c for c in docs.columns if c.lower() not in FOUND]
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(own).alias(c) for c, own in names.items()])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -186,41 +191,30 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold any benchmark window, columns unchanged."""
-    return find_contamination(docs, benchmark, **options).filter("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold any benchmark window, by the rules of :func:`find_contamination`.
 
+    Columns stay as they are, whatever their names; null and empty texts stay, repeated rows stay or go alike.
+    """
+    found, names = _found(docs, benchmark, window, text_col, item_col, bench_col, broadcast_bytes)
+    return found.filter(F.col(names["n_hit"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the hit passages cut out of ``text_col``; a document that is nothing else becomes empty."""
-    found = find_contamination(docs, benchmark, text_col=text_col, **options)
-    n = F.size("hit_chars")
-    kept = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.substring(
-            F.col(text_col),
-            F.when(i == 0, 1).otherwise(F.get("hit_chars", i - 1)["end"] + 1).cast("int"),
-            F.when(i == n, F.length(text_col)).otherwise(F.get("hit_chars", i)["start"]).cast("int") - F.when(i == 0, 0).otherwise(F.get("hit_chars", i - 1)["end"]).cast("int"),
-        ),
-    )
-    cut = F.when(F.col("n_hit") > 0, F.array_join(kept, "")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The same report in plain Python, for tests."""
-    out = []
-    split = lambda t: _WORD.findall((t or "").translate(_UPPER))
-    for doc, text in docs:
-        own, hit, held = split(text), set(), set()
-        for item, body in items:
-            words = split(body)
-            k = min(window, len(words))
-            for j in range(len(words) - k + 1 if k else 0):
-                for i in range(len(own) - k + 1):
-                    if own[i : i + k] == words[j : j + k]:
-                        hit.update(range(i, i + k))
-                        held.add(str(item))
-        ids = ",".join(sorted(held))
-        out.append((doc, len(own), len(hit), len(held), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
-    return out
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` with the hit passages cut out of ``text_col``; a document that is nothing else becomes empty.
+
+    All rows stay, and all columns whatever their names; null and empty texts stay as they are, repeated rows are cut alike.
+    """
+    found, names = _found(docs, benchmark, window, text_col, item_col, bench_col, broadcast_bytes)
+    cut = fresh_name("cut")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(names["hit_chars"])).to_pylist()
+            return [pa.array([cut_text(t, [(x["start"], x["end"]) for x in own]) if own else t for t, own in zip(texts, spans, strict=True)], pa.string())]
+
+        return work
+
+    out = append_columns(found, [T.StructField(cut, T.StringType())], make, text_col)
+    return out.select(*[F.col(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

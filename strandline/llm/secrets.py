@@ -13,22 +13,25 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import words as W
-from strandline.llm.common import append_columns, text_blocks
+from strandline.llm.common import append_columns, cut_text, fresh_name, text_blocks
 
 #: Kinds in the order that breaks ties between spans that begin together; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh", "hexkey")
-_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
-_JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----([^-]*)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEXKEY = re.compile(r"[0-9A-Fa-f]{48,}")
+# No pattern tries a run of its characters from more than one place, or gives characters back, so that each takes time in
+# proportion to the text.
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]++")
+_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?PRIVATE KEY)-----([^-]*+)-----END \1-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
+_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}+")
 #: Fewest characters of a base64 candidate, and of a hexadecimal one of the base kind.
 MIN_BASE64, MIN_HEX, MIN_HEXKEY = 32, 24, 48
 #: Fewest characters of any span without a delimiter: a signed token with the shortest header that names an algorithm.
@@ -105,14 +108,18 @@ def ssh_key(data: bytes) -> bool:
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans that are reported by their pattern alone."""
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
-    return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text) if len(m[0]) >= MIN_HEX]
+    return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose content decodes and parses."""
-    out = [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if signed_header(m[0])]
+    out, at = [], 0
+    for m in _JWT.finditer(text):  # candidates overlap: any part of a dotted name may be the header
+        if m.start() >= at and signed_header(m[1]):
+            out.append((m.start(), at := m.end(1), "jwt"))
     for m in _PEM.finditer(text):
         lines = [x for x in m[2].split("\n") if x.strip() and ":" not in x]
         data = unbase64("".join("".join(lines).split()))
@@ -152,7 +159,7 @@ _ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind"
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``secrets``, an array of (start, end, kind), by start and then kind, over whole texts.
+    """``df`` with ``secrets``, an array of (start, end, kind), by start and then kind, over whole texts of any length.
 
     Kinds ``assign``, ``access`` and ``hex`` are reported by their pattern alone; ``jwt``, ``pem``, ``der``, ``ssh`` and
     ``hexkey`` only once decoded and parsed. Spans of different kinds may overlap. A null or empty text has no spans;
@@ -186,17 +193,23 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``df`` with every span of ``text_col`` replaced by ``mask``, overlapping spans by one; a null text stays null."""
-    found = scan(df, text_col)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """``df`` with every span of ``text_col`` replaced by ``mask``, overlapping spans by one; rows and other columns, of
+    whatever name, stay as they are. A null text stays null, an empty one empty; repeated rows are cut alike."""
+    masked = fresh_name("masked")
 
-    def step(acc, s):
-        gap = F.col(text_col).substr((acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        fresh = F.array(gap, F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], fresh)).alias("parts"))
+    def make():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            column = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
+            marks, texts = np.zeros(batch.num_rows, bool), []
+            for first, _, raw, offs in text_blocks(column):
+                for k in _suspects(raw, offs).tolist():
+                    text = raw[offs[k] : offs[k + 1]].tobytes().decode()
+                    if found := find_spans(text):
+                        marks[first + k] = True
+                        texts.append(cut_text(text, [(a, b) for a, b, _ in found], mask))
+            return [pc.replace_with_mask(column, pa.array(marks), pa.array(texts, pa.string())) if texts else column]
 
-    def finish(acc):
-        return F.concat(F.array_join(acc["parts"], ""), F.col(text_col).substr((acc["at"] + 1).cast("int"), F.length(text_col)))
+        return work
 
-    masked = F.when(F.size("secrets") > 0, F.aggregate("secrets", zero, step, finish)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, masked).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = append_columns(df, [T.StructField(masked, T.StringType())], make, text_col)
+    return out.select(*[F.col(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -4,12 +4,14 @@ import base64
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, language_id, queries, secrets, sharding
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -61,20 +63,74 @@ def test_bundle_is_the_sum_of_bound_permuted_letters():
 
     encoder = language_id.Encoder(dimensions=128)
     raw = np.frombuffer("ab c".encode(), np.uint8)
-    vectors, lettered = encoder.bundles(raw, np.array([0, len(raw)]))
-    base = encoder.letters[2]
-    of = lambda a, b, c: np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
-    want = of(0, 1, 2).astype(int) + of(1, 2, 0) + of(0, 3, 0)
-    assert lettered.tolist() == [True]
+    vectors, sizes = encoder.bundles(raw, np.array([0, len(raw)]))
+    base = lambda x: encoder.letter(0 if x == " " else ord(x)).astype(int)
+    of = lambda a, b, c: np.roll(base(a), 2) * np.roll(base(b), 1) * base(c)
+    want = of(" ", "a", "b") + of("a", "b", " ") + of(" ", "c", " ")
+    assert sizes.tolist() == [3]
     assert (vectors[0] == want).all()
 
 
+def plain_bundle(encoder, text):
+    import numpy as np
+
+    padded = [0]
+    for ch in text:
+        point = ord(ch.lower()[:1]) if ch.isalpha() else 0
+        if point or padded[-1]:
+            padded.append(point)
+    if padded[-1]:
+        padded.append(0)
+    out, n = np.zeros(encoder.dimensions, int), 0
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        if b:
+            out += np.roll(encoder.letter(a), 2).astype(int) * np.roll(encoder.letter(b), 1) * encoder.letter(c)
+            n += 1
+    return out, n
+
+
+def test_bundles_equal_brute_force_in_any_script_and_in_parts(monkeypatch):
+    import numpy as np
+
+    texts = ["", "12 !", "Über die Brücke", "漢字かな交じり文 の 例", "Привет, мир! İstanbul", "𝒳𐐷 x", "".join(chr(0x4E00 + k % 3000) for k in range(4000)), "a"]
+    data = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, data)])
+    encoder = language_id.Encoder(dimensions=64)
+    vectors, sizes = encoder.bundles(np.frombuffer(b"".join(data), np.uint8), offs)
+    for k, text in enumerate(texts):
+        want, n = plain_bundle(encoder, text)
+        assert (vectors[k] == want).all() and sizes[k] == n
+    assert len({encoder.letter(ord(c)).tobytes() for c in "éèêëüöäßñçабв漢字"}) == 15
+    monkeypatch.setattr(language_id, "BLOCK_BYTES", 40)
+    long = "ein langer Text, der mehrere Teile hat; " * 5 + "ohne" * 30 + " Ende é漢 " * 9
+    raw = np.frombuffer(long.encode(), np.uint8)
+    vectors, sizes = encoder.bundles(raw, np.array([0, len(raw)]))
+    want, n = plain_bundle(encoder, long)
+    assert (vectors[0] == want).all() and sizes[0] == n
+
+
+def test_short_words_are_familiar_and_gibberish_is_not(spark):
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    profiles = language_id.fit(docs)
+    rng = random.Random(4)
+    texts = [r.text for r in docs.filter("lang is not null and text is not null").collect()]
+    words = [w for t in rng.sample(texts, 300) for w in rng.sample(t.split(), min(3, len(t.split())))]
+    words = [w for w in words if any(c.isalpha() for c in w)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(100)) for _ in range(200)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*words, *noise, *texts])], "doc_id long, text string")
+    found = {r.doc_id: r.familiar for r in language_id.predict(df, profiles).collect()}
+    n = len(words)
+    assert sum(found[k] for k in range(n)) >= 0.99 * n
+    assert sum(found[n + k] for k in range(200)) <= 0.02 * 200
+    assert sum(found[n + 200 + k] for k in range(len(texts))) >= 0.999 * len(texts)
+
+
 # decontamination
 def test_decontamination_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {tuple(r) for r in queries.op10_decontamination(spark, SF).collect()}
-    want = set(decontaminate.brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]))
+    want = set(brute.contamination([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]))
     assert got == want
     assert any(r[5] for r in want) and not all(r[5] for r in want)
 
@@ -84,11 +140,18 @@ def test_decontamination_on_small_alphabets_and_in_several_passes(spark):
     text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     docs = [(i, text(rng.randrange(0, 60))) for i in range(60)] + [(60, None), (61, ""), (62, "A-B,a.b"), (62, "A-B,a.b"), (63, "é" * 3)]
     items = [(i, text(rng.randrange(0, 14))) for i in range(25)] + [(25, None), (26, "..."), (27, "É é"), (27, "éé é"), (28, "ééé")]
-    want = sorted(decontaminate.brute_force(docs, items), key=str)
+    want = sorted(brute.contamination(docs, items), key=str)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    d = d.withColumns({"n_hit": F.lit("clash"), "_words": F.lit(1), "_items": F.lit(2), "Items": F.lit(3)})
+    clean = sorted((str(r[0]) for r in want if not r[5]))
     for limit in (1 << 20, 400):
-        got = decontaminate.digest(decontaminate.find_contamination(d.withColumn("n_hit", F.lit("clash")), b, broadcast_bytes=limit))
+        got = decontaminate.digest(decontaminate.find_contamination(d, b, broadcast_bytes=limit))
         assert sorted((tuple(r) for r in got.collect()), key=str) == want
+        kept = decontaminate.drop_contaminated(d, b, broadcast_bytes=limit)
+        assert kept.columns == d.columns and {(r.n_hit, r._words, r._items, r.Items) for r in kept.collect()} == {("clash", 1, 2, 3)}
+        assert sorted(str(r.doc_id) for r in kept.collect()) == clean
+        cut = decontaminate.remove_spans(d, b, broadcast_bytes=limit)
+        assert cut.columns == d.columns and {(r.n_hit, r._words, r._items, r.Items) for r in cut.collect()} == {("clash", 1, 2, 3)}
 
 
 def test_decontamination_of_odd_rows_and_removal(spark):
@@ -127,7 +190,7 @@ def test_base_spans_equal_the_patterns(spark):
     got = {r.doc_id: r for r in queries.op5_secret_scan(spark, SF2).collect()}
     some = 0
     for r in docs:
-        base = sorted(secrets.base_spans(r.text or ""), key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+        base = brute.base_secrets(r.text or "")
         listed = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert (got[r.doc_id].n_assign, got[r.doc_id].n_access, got[r.doc_id].n_hex) == tuple(sum(s[2] == k for s in base) for k in secrets.KINDS[:3])
@@ -147,6 +210,7 @@ def test_base_spans_equal_the_patterns(spark):
         ("é " + url64(b'{"alg":"none"}') + ".e30.", ["jwt:2:26"]),
         (url64(b'{"alg":7}') + ".e30.", []),
         ("a " + url64(b'{"alg":""}') + ".e3. b", ["jwt:2:20"]),
+        ("www.example.ab." + url64(b'{"alg":"none"}') + ".e30.x", ["jwt:15:40"]),
         ("k " + b64(KEY), [f"der:2:{2 + len(b64(KEY))}"]),
         ("k " + b64(KEY[:-1] + b"\0\0"), []),
         (KEY.hex().upper(), [f"hexkey:0:{2 * len(KEY)}", "hex:4:33"]),  # digits alone are a base run, too
@@ -168,9 +232,29 @@ def test_secrets_of_odd_rows_and_redaction(spark):
     text = "é token=abcdefgh12345678abcdefab end"
     more = spark.createDataFrame([(1, text), (2, None), (3, "plain"), (4, "secret=abcdef")], "doc_id long, text string")
     assert [r.text for r in secrets.redact(more).orderBy("doc_id").collect()] == ["é [SECRET] end", None, "plain", "[SECRET]"]
+    clash = secrets.redact(more.withColumn("secrets", F.lit("mine")))
+    assert clash.columns == ["doc_id", "text", "secrets"] and {r.secrets for r in clash.collect()} == {"mine"}
+    assert secrets.redact(docs).count() == docs.count() and secrets.redact(docs.limit(0)).count() == 0
     assert json.loads("[1]") == [1]
 
 
+@pytest.mark.parametrize("unit", ["a", "5", "f", "Zz9+/", "a.b", "AKIA", "token=", "token   ", "eyJ", "-----BEGIN PRIVATE KEY-----", "MII"])
+def test_a_megabyte_without_spaces_takes_little_time(unit):
+    text = (unit * (1_000_000 // len(unit) + 1))[:1_000_000]
+    began = time.process_time()
+    spans = secrets.find_spans(text)
+    assert time.process_time() - began < 3
+    assert [s for s in spans if s[2] in secrets.KINDS[:3]] == brute.base_secrets(text)
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(6)
+    parts = ["token", "Api_Key", "apikey", "PASSWD", " ", "  ", "=", ":", "'", '"', "AKIA", "abc", "0123456789abcdef", "ABCDEF12", "/+", "é", "ſecret", "\n", "secret"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert sorted(secrets.base_spans(text), key=lambda s: (s[0], secrets.KINDS.index(s[2]))) == brute.base_secrets(text)
+
+
 # sharding
 def check_places(rows, shards):
     for shard in range(shards):
@@ -205,6 +289,24 @@ def test_sharding_odd_rows(spark):
         sharding.shard_documents(docs, shards=0)
 
 
+def test_the_kept_map_is_edited_and_places_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}/maps"
+    docs = spark.createDataFrame([(k, "x" * (k * 37 % 501)) for k in range(400)], "doc_id long, text string")
+    placed, first = sharding.shard_documents(docs, shards=5, slots=64, folder=folder)
+    assert first.version == 2 and sharding.SlotMap.load(spark, folder, 1) == sharding.dealt_map(5, 64)
+    rows = placed.collect()
+    check_places(rows, 5)
+    assert all(r.shard == first.owner[r.virtual_slot] for r in rows)
+    loads = [sum(r.size for r in rows if r.shard == k) for k in range(5)]
+    assert max(loads) - min(loads) <= 0.01 * sum(loads) / 5
+    more = docs.unionByName(spark.createDataFrame([(k, "y" * 900) for k in range(1000, 1020)], "doc_id long, text string"))
+    again, second = sharding.shard_documents(more, shards=5, slots=64, folder=folder)
+    assert second.version == 3 and {r.doc_id: r.virtual_slot for r in again.collect()}.items() >= {r.doc_id: r.virtual_slot for r in rows}.items()
+    assert sum(a == b for a, b in zip(first.owner, second.owner, strict=True)) > 32
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, shards=6, slots=64, folder=folder)
+
+
 def test_slot_map_versions(spark, tmp_path):
     rng = random.Random(1)
     sizes = {s: rng.randrange(1, 1000) for s in range(500)}
