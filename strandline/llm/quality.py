@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's bytes are embedded, with a mark on those that repeat what stands shortly before them; learned filters slide over overlapping chunks of 24 bytes, a new chunk every 8, so that
-they cover the whole text; each filter's largest response is pooled, and a logistic unit turns those into a probability.
+A text's bytes are embedded, with a mark on those that repeat what stands shortly before them; learned filters slide over
+overlapping chunks of 24 bytes, a new chunk every 8, so that they cover the whole text; each filter's largest response is
+pooled, and a logistic unit turns those into a probability. The pool is kept up over parts of a long text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ STRIDE, STRIDES, WIDTH, FILTERS = 8, 3, 8, 32
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 32_768
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.004, 5
 PAD = 256
+#: Bytes of a text whose responses are held at once, whole strides.
+PART = 1 << 18
 #: A byte is marked as repeated if the four bytes up to it stand at most so many bytes before, too; no more than the
 #: pads between two texts, so that none is marked by another text.
 REPEAT = 16
@@ -60,10 +63,22 @@ class Network:
             total[:-k] += each[k:, k * FILTERS : (k + 1) * FILTERS]
         return total
 
-    def probabilities(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def pooled(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Each filter's largest response over the chunks of each text, at least 0."""
+        if len(offs) == 2 and len(raw) > 2 * PART:
+            # parts overlap by what a mark looks back and a chunk looks ahead
+            back, ahead, out = STRIDE * STRIDES, STRIDE * (STRIDES - 1), np.zeros((1, FILTERS), np.float32)
+            for at in range(0, len(raw), PART):
+                first, end = max(0, at - back), min(len(raw), at + PART + ahead)
+                codes, _, ends = layout(raw[first:end], np.array([0, end - first]))
+                last = (at + PART - first) // STRIDE if at + PART < len(raw) else int(ends[0])
+                out = np.maximum(out, self.responses(codes)[(at - first) // STRIDE : last].max(axis=0))
+            return out
         codes, begins, ends = layout(raw, offs)
-        pooled = np.maximum(np.maximum.reduceat(self.responses(codes), np.stack([begins, ends], axis=1).reshape(-1), axis=0)[::2], 0)
-        return 1 / (1 + np.exp(-np.clip(pooled.astype(np.float64) @ self.out + self.offset, -30, 30)))
+        return np.maximum(np.maximum.reduceat(self.responses(codes), np.stack([begins, ends], axis=1).reshape(-1), axis=0)[::2], 0)
+
+    def probabilities(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.pooled(raw, offs).astype(np.float64) @ self.out + self.offset, -30, 30)))
 
 
 def layout(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,13 +151,15 @@ def _gradients(net: Network, texts: list[bytes], y: np.ndarray) -> dict[str, np.
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS, longest: int = SAMPLE_BYTES) -> Network:
     """Fit a network on at most ``sample`` labelled texts of at most ``longest`` bytes, picked by a hash of their id.
 
-    Rows with a null id or label are not used. The sample is all that reaches the driver: ``sample`` times ``longest``
-    bytes at most. Without any usable label the network gives one half to every text.
+    The pick is among the labelled texts that are short enough, so that it is full wherever there are enough of them. Rows
+    with a null id or label are not used; a null text is empty; a repeated row counts as often as it is picked. The sample is all
+    that reaches the driver: ``sample`` times ``longest`` bytes at most. Without any usable label the network gives one half
+    to every text.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).filter(F.octet_length("_text") <= longest)
-    # twice as many ids as asked for, as some have no text that is short enough
-    picked = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(2 * sample)
+    # ids and labels are picked first, so that texts travel for the pick alone
+    picked = texts.select("_id").join(known, "_id").orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample).distinct()
     rows = texts.join(F.broadcast(picked), "_id").orderBy(F.xxhash64("_id"), "_id", "_label", "_text").limit(sample).collect()
     return train([r._text.encode() for r in rows], [int(r._label > 0) for r in rows])
 
@@ -151,7 +168,7 @@ def predict(df: DataFrame, network: Network, text_col: str = "text") -> DataFram
     """``df`` with score, the probability of label 1 for each whole text.
 
     A null text counts as empty; empty texts get the probability of no response at all. Equal texts get equal scores,
-    and an input column named ``score`` is replaced.
+    an input column named ``score`` is replaced, and an empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(network)
 

@@ -44,6 +44,27 @@ def test_every_byte_counts_and_blocks_dont():
     assert together[2] < together[3]
 
 
+def test_parts_of_a_long_text_pool_as_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    net = quality.train([b"good words here. " * 9, b"bad!! words!! " * 9] * 20, [1, 0] * 20, epochs=3)
+    texts = [rng.integers(97, 103, n).astype(np.uint8) for n in (5000, 5001, 4096, 4999)]
+    whole = [net.pooled(x, np.array([0, len(x)])) for x in texts]
+    monkeypatch.setattr(quality, "PART", 256)
+    assert all(np.allclose(net.pooled(x, np.array([0, len(x)])), w, atol=1e-5) for x, w in zip(texts, whole, strict=True))
+
+
+def test_long_texts_leave_the_sample_full(spark):
+    docs = spark.createDataFrame([(k, "y" * 500 if k < 60 else "x") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    seen = []
+    quality_train, quality.train = quality.train, lambda texts, labels: seen.append(len(texts))
+    try:
+        quality.fit(docs, labels, sample=30, longest=100)
+    finally:
+        quality.train = quality_train
+    assert seen == [30]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = quality.Network.fresh(3)
