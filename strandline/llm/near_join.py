@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import words as W
-from strandline.llm.common import materialize, releasing, text_blocks
+from strandline.llm.common import batches_of, materialize, releasing, text_blocks
 from strandline.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -31,9 +31,11 @@ WIDTH, PERCENT = 4, 85
 #: Tokens that the list of frequent tokens may hold; the list is broadcast, 9 bytes for each.
 FREQUENT = 4_000_000
 #: Shingles that are counted together in a task when it looks for repeated tokens.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Documents of a block; cells beyond that are verified block against block.
 BLOCK_DOCS = 256
+#: Rows of an Arrow batch, so that a task holds few texts or sets at once.
+BATCH_ROWS = 2048
 #: Bits of the set of documents that a later order still has to look at; a larger table only leaves more of them in.
 SURVIVOR_BITS = 1 << 23
 _SEEDS = (0x51ED270B, 0x2F6E2B1D, 0x7A3D4C99)
@@ -192,7 +194,7 @@ def _later_order(order: int, orders: int) -> Pull:
     def make():
         def pull(batch: pa.RecordBatch):
             for node, n, filters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield node, n, lambda filters=filters: np.frombuffer(filters, W.U).reshape(orders, -1)[order]
+                yield node, n, lambda filters=filters: np.frombuffer(filters, W.U).reshape(orders - 1, -1)[order - 1]
 
         return pull
 
@@ -203,7 +205,7 @@ def _later_order(order: int, orders: int) -> Pull:
 #: only makes a cell larger.
 _ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
 #: Prefix tokens that a task sorts at once, and that one bucket should hold.
-CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 8_000_000
+CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 2_000_000
 #: Edges that a task holds before it sends the distinct ones.
 EDGES_HELD = 1_000_000
 
@@ -321,11 +323,11 @@ def chained(rows: DataFrame, pull: Pull, percent: int, buckets: int) -> DataFram
 BATCH_HASHES = 1_000_000
 
 
-def alive_sets(rows: DataFrame, pull, alive) -> DataFrame:
+def alive_sets(rows: DataFrame, pull, alive, whole: bool = True) -> DataFrame:
     """(node, n, hashes, payload, filters) of the distinct sets that are still alive, written to the shared folder.
 
     ``pull``, called in each task, gives a function of a batch that yields node, set and a function that gives payload
-    (a sketch, and shortened filter tokens) and filters (whole ones).
+    (a sketch, and shortened filter tokens) and filters (whole ones); hashes are left empty unless ``whole``.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,15 +337,16 @@ def alive_sets(rows: DataFrame, pull, alive) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nodes, sets, payloads, filters = zip(*held, strict=True)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(offsets)), lists, pa.array(payloads, pa.binary()), pa.array(filters, pa.binary())], names=["node", "n", "hashes", "payload", "filters"])
+            sizes = np.array([len(x) for x in sets])
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) if whole else np.zeros(len(sets) + 1, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets if whole else [W.U(0) * sets[0][:0]]).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes), lists, pa.array(payloads, pa.binary()), pa.array(filters, pa.binary())], names=["node", "n", "hashes", "payload", "filters"])
 
         for batch in batches:
             for node, own, more in sets_of(batch):
                 if bits[node % SURVIVOR_BITS] and node not in seen:
                     seen.add(node)
-                    held.append((node, own.copy(), *more()))
+                    held.append((node, own.copy() if whole else own, *more()))
                     n_held += len(own)
                     if n_held >= BATCH_HASHES:
                         yield flush()
@@ -355,15 +358,34 @@ def alive_sets(rows: DataFrame, pull, alive) -> DataFrame:
     return materialize(found.dropDuplicates(["node"]), "near-sets")
 
 
-def _filtered(shared, percent: int, width: int, orders: int):
-    """Sets of texts with their sketch and their prefixes under all orders."""
+def _later_filters(shared, percent: int, width: int, orders: int):
+    """Sets of texts with their sketch, and their prefixes under all orders but the first."""
 
     def make():
         tokens, classes = shared.value
 
         def more(own: np.ndarray) -> tuple[bytes, bytes]:
-            filters = np.concatenate([prefix(own, tokens, classes, order, percent) for order in range(orders)])
-            return sketch(own) + filters.astype(np.uint32).tobytes(), filters.tobytes()
+            return sketch(own), b"".join(prefix(own, tokens, classes, order, percent).tobytes() for order in range(1, orders))
+
+        def pull(batch: pa.RecordBatch):
+            for _, own in text_sets(batch.column(0), width):
+                if len(own):
+                    yield node_of(own), own, partial(more, own)
+
+        return pull
+
+    return make
+
+
+def _all_filters(shared, percent: int, width: int, orders: int):
+    """Sets of texts with their sketch, and shortened tokens of their prefixes under all orders."""
+
+    def make():
+        tokens, classes = shared.value
+
+        def more(own: np.ndarray) -> tuple[bytes, bytes]:
+            filters = [prefix(own, tokens, classes, order, percent) for order in range(orders)]
+            return sketch(own) + np.concatenate(filters).astype(np.uint32).tobytes(), b""
 
         def pull(batch: pa.RecordBatch):
             for _, own in text_sets(batch.column(0), width):
@@ -376,12 +398,16 @@ def _filtered(shared, percent: int, width: int, orders: int):
 
 
 def may_pair(payloads: list[bytes], n: np.ndarray, percent: int, orders: int) -> np.ndarray:
-    """Which pairs share a filter token under every order, and a similarity that their sketches allow."""
+    """Which pairs share a filter token under every order that payloads hold, and a similarity that their sketches allow."""
     cuts = [max(64, 1 << (int(k) - 1).bit_length()) // 8 for k in n]
     out = may_link([x[:cut] for x, cut in zip(payloads, cuts, strict=True)], n, percent)
-    filters = [np.frombuffer(x, np.uint32, offset=cut).reshape(orders, -1) for x, cut in zip(payloads, cuts, strict=True)]
+    np.fill_diagonal(out, False)
     for order in range(orders):
-        out &= overlaps([x[order] for x in filters]) > 0
+        left = np.flatnonzero(out.any(axis=1))  # sets that still may have a partner
+        if not len(left):
+            break
+        tokens = [np.frombuffer(payloads[k], np.uint32, offset=cuts[k]).reshape(orders, -1)[order] for k in left]
+        out[np.ix_(left, left)] &= overlaps(tokens) > 0
     return out
 
 
@@ -410,7 +436,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(out.shape, np.float32)
     for at in range(0, int(group[-1]) + 1, 8192):
         a, b = np.searchsorted(group, [at, at + 8192])
-        table = np.zeros((len(sets), 8192), np.float32)
+        table = np.zeros((len(sets), min(8192, int(group[-1]) + 1 - at)), np.float32)
         table[doc[a:b], group[a:b] - at] = 1
         total += table @ table.T
     total = np.rint(total).astype(np.int64)
@@ -472,26 +498,31 @@ def _links(near_of):
     return scan
 
 
-def links_of_cells(sets: DataFrame, classes: DataFrame, cells: DataFrame, percent: int, orders: int = 1) -> DataFrame:
+def links_of_cells(sets: DataFrame, whole: Callable[..., DataFrame], classes: DataFrame, cells: DataFrame, percent: int, light_orders: int, whole_orders: int) -> DataFrame:
     """(a, b, links): a spanning forest (a, b) of the links within cells, and (a, null, links) with numbers of linked rows.
 
     ``sets`` is as :func:`alive_sets` gives it, ``classes`` has node and times of each set, ``cells`` the cell of those that
-    may link. A first round compares filters and sketches alone, so that whole sets travel only where a pair passes them; a
-    pair counts as a link if it passes them and its exact similarity suffices.
+    may link. First pairs are held against their sketches and the tokens of ``light_orders`` filters, as what travels here is
+    copied to each pair of blocks of a cell. ``whole`` then gives the whole sets of what hangs together by pairs that pass
+    (called with their :func:`bitmap`, as a broadcast); of these, pairs that share a token under each of ``whole_orders``
+    filters are verified.
     """
-    def candidates(payloads, n, _):
-        return may_pair(payloads, n, percent, orders)
+    sc = sets.sparkSession.sparkContext
 
     def verified(payloads, n, hashes):
-        both = overlaps(hashes)
-        return (100 * both >= percent * (n[:, None] + n[None, :] - both)) & may_pair(payloads, n, percent, orders)
+        out = may_pair(payloads, n, percent, whole_orders)
+        left = np.flatnonzero(out.any(axis=1))
+        if len(left):
+            both, m = overlaps([hashes[k] for k in left]), n[left]
+            out[np.ix_(left, left)] &= 100 * both >= percent * (m[:, None] + m[None, :] - both)
+        return out
 
     known = classes.select("node", "times")
     light = sets.select("node", "n", "payload").join(known, "node").join(cells, "node")
-    near = block_pairs(light, cells, _links(candidates))
+    near = block_pairs(light, cells, _links(lambda payloads, n, _: may_pair(payloads, n, percent, light_orders)))
     cells = materialize(connected_components(near.filter("b is not null").select("a", "b"), "near-cells").withColumnRenamed("root", "cell"), "near-cells")
-    whole = sets.select("node", "n", "payload", "hashes").join(known, "node").join(cells, "node")
-    return materialize(block_pairs(whole, cells, _links(verified)), "near-links")
+    full = whole(sc.broadcast(bitmap(cells))).select("node", "n", "payload", "hashes").join(known, "node").join(cells, "node")
+    return materialize(block_pairs(full, cells, _links(verified)), "near-links")
 
 
 @dataclass
@@ -508,6 +539,11 @@ def _linked(rows: DataFrame, width: int, percent: int, orders: int, frequent: in
     """All links among the texts in the last column of ``rows``."""
     if not 1 <= orders <= len(_SEEDS):
         raise ValueError(f"there can be 1 to {len(_SEEDS)} orders")
+    with batches_of(rows.sparkSession, BATCH_ROWS):
+        return _links_of(rows, width, percent, orders, frequent)
+
+
+def _links_of(rows: DataFrame, width: int, percent: int, orders: int, frequent: int) -> Linked:
     spark = rows.sparkSession
     sc = spark.sparkContext
     texts = rows.select(F.col(rows.columns[-1]).alias("text"))
@@ -517,7 +553,7 @@ def _linked(rows: DataFrame, width: int, percent: int, orders: int, frequent: in
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
     cells = connected_components(chained(texts, _first_order(shared, percent, width), percent, buckets), "near-cells")
     cells = materialize(cells.withColumnRenamed("root", "cell"), "near-cells")
-    sets = alive_sets(texts, _filtered(shared, percent, width, orders), sc.broadcast(bitmap(cells)))
+    sets = alive_sets(texts, _later_filters(shared, percent, width, orders), sc.broadcast(bitmap(cells)), whole=False)
     for order in range(1, orders):
         mine = sets.select("node", "n", "filters").join(cells.select("node"), "node", "left_semi")
         found = connected_components(chained(mine, _later_order(order, orders), percent, buckets), "near-cells")
@@ -525,7 +561,8 @@ def _linked(rows: DataFrame, width: int, percent: int, orders: int, frequent: in
         names = both.groupBy("cell", "root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
         cells = materialize(both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell")), "near-cells")
     classes = members.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
-    found = links_of_cells(sets, classes, cells, percent, orders)
+    filtered = _all_filters(shared, percent, width, orders)
+    found = links_of_cells(sets, lambda alive: alive_sets(texts, filtered, alive), classes, cells, percent, 0, orders)
     roots = connected_components(found.filter("b is not null"), "near-links")
     degrees = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     return Linked(members, classes, roots, degrees)
@@ -560,21 +597,23 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     Groups are the components of links of :func:`similar_documents`. The row with the least id stays, of several with that
     id one by a hash of all columns, and of rows that are equal in every column exactly one. Two different texts under one
     id are two rows, each judged by its own text. Rows with a null id always stay, and take no other row's place; so do
-    null and empty texts, and texts without words, which link with nothing. An empty table gives an empty result.
+    null and empty texts, and texts without words, which link with nothing. An empty table gives an empty result. ``df`` is
+    evaluated several times, and must give the same rows each time.
     """
     names = df.columns
     inner = df.toDF(*[f"c{k}" for k in range(len(names))])
     own = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in inner.schema.fields]
-    doc, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    rows = inner.select("*", F.col(doc).cast("long").alias("doc_id"), F.xxhash64(*own).alias("row_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("scanned"))
-    found = _linked(rows, width, percent, orders, frequent)
-    free = F.col("node").isNull() | F.col("doc_id").isNull()
-    bound = found.members.filter(~free)
-    each = bound.groupBy("node", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
-    first = each.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "node", "times")).alias("first"))
+    doc, text = F.col(f"c{names.index(id_col)}").cast("long"), F.coalesce(F.col(f"c{names.index(text_col)}").cast("string"), F.lit(""))
+    # rows are known by 128 bits of their content, so that texts needn't be written again to be known by a number
+    keyed = inner.withColumns({"doc_id": doc, "first_key": F.xxhash64(*own), "second_key": F.xxhash64(F.lit(1), *own), "scanned": text})
+    key = ["doc_id", "first_key", "second_key"]
+    found = _linked(keyed.select(*key, "scanned"), width, percent, orders, frequent)
+    each = found.members.filter("node is not null and doc_id is not null").groupBy("node", *key).agg(F.count(F.lit(1)).alias("times"))
+    first = each.groupBy("node").agg(F.min(F.struct(*key, "times")).alias("first"))
     rooted = first.join(found.roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    winners = materialize(rooted.select("first.*").select("node", "row_key", "doc_id", "times"), "near-winners")
-    stay = bound.join(winners, ["node", "row_key", "doc_id"])
+    winners = materialize(rooted.select("first.*"), "near-winners")
+    free = F.col("doc_id").isNull() | ~F.col("scanned").rlike(r"[^\x20\x09-\x0D]")
+    stay = keyed.filter(~free).join(winners, key)
     if not winners.filter("times > 1").isEmpty():
-        stay = stay.filter("times = 1").unionByName(stay.filter("times > 1").dropDuplicates(["node", "row_key", "doc_id"]))
-    return stay.select(inner.columns).union(found.members.filter(free).select(inner.columns)).toDF(*names)
+        stay = stay.filter("times = 1").unionByName(stay.filter("times > 1").dropDuplicates(key))
+    return stay.select(inner.columns).union(keyed.filter(free).select(inner.columns)).toDF(*names)

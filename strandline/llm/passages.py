@@ -162,7 +162,8 @@ def _repeated_lines(docs: DataFrame, width: int, percent: int, least: int) -> Da
     sets = alive_sets(docs.select("text"), _whole_lines(width, least), docs.sparkSession.sparkContext.broadcast(bitmap(cells)))
     each = found.groupBy("node").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "paragraph")).alias("first"), F.max("key").alias("last"))
     each = materialize(each, "passage-classes")
-    roots = connected_components(links_of_cells(sets, each, cells, percent).filter("b is not null"), "passage-links")
+    # bands let through little else than what is verified, so that the whole sets are in the one table
+    roots = connected_components(links_of_cells(sets, lambda _: sets, each, cells, percent, 1, 1).filter("b is not null"), "passage-links")
     rooted = each.join(roots, "node", "left").select("node", "first", "last", F.coalesce("root", "node").alias("root"))
     clusters = rooted.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first.key != last")
     named = materialize(rooted.select("node", "root").join(clusters, "root").select("node", F.col("first.key").alias("origin"), F.col("first.paragraph").alias("place")), "passage-clusters")

@@ -141,6 +141,46 @@ def test_keep_one(spark):
     assert kept.columns == df.columns
 
 
+def test_keep_one_of_repeated_rows_and_ids(spark):
+    t, u = "a b c d e f g", "other words stand here alone"
+    rows = [(5, t, "x", 1), (5, t, "x", 1), (9, t, "x", 2), (3, u, "y", 3), (4, u, "y", 4), (4, t, "z", 5), (4, "third text of the id four", "z", 6)]
+    rows += [(7, None, "n", 7), (7, None, "n", 7), (8, " \n", "n", 8), (None, t, "n", 9), (None, t, "n", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string, times int").repartition(3)
+    kept = near_join.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(4, t, "z", 5), (3, u, "y", 3), (4, "third text of the id four", "z", 6), *rows[7:]]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    twice = near_join.keep_one(df.filter("doc_id = 5")).collect()
+    assert [tuple(r) for r in twice] == [(5, t, "x", 1)]
+    assert near_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_names_of_many_sets_at_once():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, k).astype(np.uint64)) for k in (1, 2, 50, 3)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    assert near_join.names_of(np.concatenate(sets), bounds).tolist() == [near_join.node_of(x) for x in sets]
+    assert near_join.node_of(sets[2]) != near_join.node_of(sets[2][1:])
+
+
+def test_pairs_pass_only_if_they_share_a_token_under_every_order():
+    rng = np.random.default_rng(7)
+    tokens, classes = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    base = near_join.W.mix(rng.integers(0, 1 << 60, 60).astype(np.uint64))
+    sets = [np.unique(np.where(rng.random(60) < p, near_join.W.mix(rng.integers(0, 1 << 60, 60).astype(np.uint64)), base)) for p in (0, 0.03, 0.1, 0.5, 0.8, 0.9, 0.95, 1)]
+    filters = [[near_join.prefix(x, tokens, classes, order) for order in range(2)] for x in sets]
+    payloads = [near_join.sketch(x) + np.concatenate(f).astype(np.uint32).tobytes() for x, f in zip(sets, filters, strict=True)]
+    n = np.array([len(x) for x in sets])
+    got = near_join.may_pair(payloads, n, 85, 2)
+    both = near_join.overlaps(sets)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            share = all(len(np.intersect1d(filters[i][o], filters[j][o])) for o in range(2))
+            assert not got[i, j] or (share and i != j)
+            if i != j and 100 * both[i, j] >= 85 * (n[i] + n[j] - both[i, j]):
+                assert got[i, j]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 9), (5, 4), (5, 4), (4, 6)] + [(100, 100 + k) for k in range(1, 50)] + [(200 + k, 201 + k) for k in range(40)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
