@@ -1,8 +1,9 @@
 """Byte-level BPE by Spark's higher-order functions, and back.
 
 A task walks its texts and lists each distinct word (a match of the pre-tokenizer's pattern) once. Spark folds the
-ranked merges over the bytes of those words, looking up pairs in a literal rank map; the texts follow as lists of word
-numbers, so that their ids and, by concatenating the ids' binary pieces, their bytes are put together without a shuffle.
+ranked merges over the bytes of those words, looking up pairs in a literal rank map, and decodes each word's ids again by
+concatenating their pieces. The texts follow as lists of word numbers, so that their ids and their decoded bytes are put
+together from their words' without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import words as W
-from strandline.llm.common import releasing, string_buffers, text_or_empty
+from strandline.llm.common import batches_of, materialize, releasing, string_buffers, text_or_empty
 
 #: Bytes of a word up to which it is folded; the fold's time grows with the square of the length, so longer words
 #: are merged by a heap instead, with the same result. At most 255, as entries keep a place in 8 bits.
 FOLD_BYTES = 128
 #: Distinct words in a row of the plan.
 WORDS_PER_ROW = 2000
-#: Distinct words and units that a task remembers before it begins anew.
+#: Distinct words that a task remembers before it begins anew, and units of several words that it remembers.
 WORDS_HELD, UNITS_HELD = 1_000_000, 400_000
 #: Rows of an Arrow batch at most, so that a task holds few texts at once.
 BATCH_ROWS = 512
@@ -236,6 +238,8 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[start[i] : end[i]]] for i in range(n) if alive[i]]
 
 
+# A text without touching or rare white space is cut into units, of which each space begins one: the pre-tokenizer splits them
+# as if they stood alone.
 #: Kinds of bytes: 1 for ASCII white space, 2 for rare kinds of it, 4 for the first bytes of all other white space in
 #: UTF-8, 8 for its second bytes (and those of some characters besides).
 _KINDS = np.array([(b == 0x20 or 0x09 <= b <= 0x0D) + 2 * (0x1C <= b <= 0x1F) + 4 * (b in (0xC2, 0xE1, 0xE2, 0xE3)) + 8 * (b in (0x80, 0x81, 0x85, 0x9A, 0xA0)) for b in range(256)], np.uint8)
@@ -250,22 +254,127 @@ def whole_texts(column: pa.Array) -> np.ndarray:
     return np.bincount(np.searchsorted(offs, odd, side="right") - 1, minlength=len(offs) - 1) > 0
 
 
-def units(text: str) -> list[str]:
-    """Parts that the pre-tokenizer splits as if they stood alone, of a text without touching or rare white space: each
-    space begins one."""
-    first, *rest = text.split(" ")
-    parts = [" " + x for x in rest]
-    return [first, *parts] if first or not parts else parts
+def distinct_units(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of a column's texts, which of them stand in the texts, one after the other, and how many in each.
+
+    A text that can't be cut is one unit; all others are cut and told apart by Arrow, without a string for each unit.
+    """
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.string()).fill_null("")
+    odd = whole_texts(column)
+    split = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+    bounds = split.offsets.to_numpy().astype(np.int64)
+    encoded = split.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).dictionary_encode()
+    strings, lengths, firsts = encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.diff(bounds), bounds[:-1] - bounds[0]
+    keys = encoded.indices.to_numpy().astype(np.int64) * 2 + 1  # odd: after a space, which is its own
+    keys[firsts] -= 1
+    nothing = 2 * strings.index("") if "" in strings else -1
+    skipped = (keys[firsts] == nothing) & (lengths > 1)  # a space begins the text
+    keys = np.delete(keys, firsts[skipped])
+    present = np.flatnonzero(np.bincount(keys, minlength=1))
+    names = [" " + strings[k >> 1] if k & 1 else strings[k >> 1] for k in present.tolist()]
+    place = np.zeros(2 * len(strings) + 1, np.int64)
+    place[present] = np.arange(len(present))
+    wholes = {text: len(names) + k for k, text in enumerate(dict.fromkeys(column.filter(pa.array(odd)).to_pylist()))}
+    sizes = np.ones(len(odd), np.int64)
+    sizes[~odd] = lengths - skipped
+    numbers, apart = np.empty(int(sizes.sum()), np.int64), (np.cumsum(sizes) - sizes)[odd]
+    cut = np.ones(len(numbers), bool)
+    cut[apart] = False
+    numbers[cut] = place[keys]
+    numbers[apart] = [wholes[text] for text in column.filter(pa.array(odd)).to_pylist()]
+    return [*names, *wholes], numbers, sizes
 
 
 def units_of(column: pa.Array) -> list[list[str]]:
     """Units of each text; a text that can't be cut is one unit."""
-    return [[text] if odd else units(text) for text, odd in zip(column.to_pylist(), whole_texts(column).tolist(), strict=True)]
+    names, numbers, sizes = distinct_units(column)
+    units, ends = [names[k] for k in numbers.tolist()], np.cumsum(sizes).tolist()
+    return [units[b - n : b] for b, n in zip(ends, sizes.tolist(), strict=True)]
+
+
+class Listing:
+    """Numbers the distinct words of a task, and gives texts as lists of these numbers.
+
+    One table holds all: a word, which may be a unit of its own, has its number, a unit of several words -1 less the place where their
+    numbers stand side by side.
+    """
+
+    def __init__(self, patterns: list[str], units_held: int):
+        self.plain, self.latin, self.every = (regex.compile(p).findall for p in patterns)
+        self.units_held, self.limit = units_held, chr(LIMITS[1])
+        letters = "".join(chr(x) for x in range(128) if chr(x).isalpha())
+        # does the pattern take any run of ASCII letters, and a space before it, as one word? Then such units needn't be split
+        self.letters_join = all(self.plain(x) == [x] for y in (letters, letters[::-1], letters.swapcase()) for x in (y, " " + y))
+        self.begin()
+
+    def begin(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.words = 0
+        self.flat, self.starts = array("i"), array("q", [0])
+
+    def _number(self, word: str, fresh: list[str]) -> int:
+        if (k := self.codes.get(word)) is None:
+            k = self.codes[word] = self.words
+            self.words += 1
+            fresh.append(word)
+        return k
+
+    def _add(self, unit: str, fresh: list[str]) -> None:
+        if self.letters_join and unit[1:].isalpha() and unit.isascii() and (unit[0] == " " or unit[0].isalpha()):
+            self._number(unit, fresh)
+            return
+        split = (self.plain if unit.isascii() else self.latin if max(unit) < self.limit else self.every)(unit)
+        if len(split) == 1:
+            self._number(unit, fresh)
+        else:
+            self.flat.extend([self._number(w, fresh) for w in split])
+            self.codes[unit] = -len(self.starts)
+            self.starts.append(len(self.flat))
+
+    def list(self, column: pa.Array) -> tuple[list[str], list[bytes]]:
+        """The words that are new, in the order of their numbers, and each text's numbers as 32-bit integers."""
+        names, numbers, sizes = distinct_units(column)
+        fresh: list[str] = []
+        known = self.codes
+        found = list(map(known.get, names))
+        late = [k for k, code in enumerate(found) if code is None]
+        new = [names[k] for k in late]
+        passing = new if len(self.starts) > self.units_held else [u for u in new if len(u) > 64]
+        for u in new if passing is not new else ():
+            if len(u) <= 64:
+                self._add(u, fresh)
+        kept, held = len(self.starts), len(self.flat)
+        for u in passing:
+            self._add(u, fresh)
+        for k in late:
+            found[k] = known[names[k]]
+        codes = np.array(found, np.int64)[numbers]
+        several = np.flatnonzero(codes < 0)
+        counts, flat = np.ones(len(codes), np.int64), np.array(self.flat, np.int32)
+        starts = np.array(self.starts, np.int64)
+        place = -1 - codes[several]
+        counts[several] = starts[place + 1] - starts[place]
+        ends = np.cumsum(counts)
+        out = np.repeat(codes, counts).astype(np.int32)
+        lengths = counts[several]
+        at = np.repeat(ends[several] - lengths, lengths) + (within := np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        out[at] = flat[np.repeat(starts[place], lengths) + within]
+        for u in passing:  # words stay, long and late units don't
+            if self.codes[u] < 0:
+                del self.codes[u]
+        del self.starts[kept:], self.flat[held:]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])] * 4
+        data = out.tobytes()
+        return fresh, [data[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
 
 class Ids:
     """Holds the ids of each word of a task, side by side, and puts those of a text together."""
 
+    #: What is given for each text, and whether that takes the bytes which words decode to.
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    decodes = False
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ids, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.words = 0
@@ -274,8 +383,8 @@ class Ids:
     def _grown(held: np.ndarray, size: int) -> np.ndarray:
         return held if len(held) >= size else np.concatenate([held, np.zeros(max(size, 2 * len(held)) - len(held), held.dtype)])
 
-    def add(self, words: pa.ListArray) -> None:
-        """More words, numbered on from those held; each is a list of ids."""
+    def add(self, words: pa.ListArray, decoded: pa.Array | None = None) -> None:
+        """More words, numbered on from those held; each is a list of ids, and perhaps the bytes that these decode to."""
         bounds = words.offsets.to_numpy()
         fresh = words.values.to_numpy()[bounds[0] : bounds[-1]]
         begin, n = int(self.starts[self.words]), len(words)
@@ -294,57 +403,71 @@ class Ids:
         return (self.of(words),)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make=None, fields: list[T.StructField] | None = None, words_held: int | None = None, units_held: int | None = None) -> DataFrame:
+class Decoded(Ids):
+    """Gives the ids of a text, and a digest of the bytes that they decode to."""
+
+    fields = [*Ids.fields, T.StructField("decoded_sha256", T.StringType())]
+    decodes = True
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.bytes: list[bytes] = []
+
+    def add(self, words: pa.ListArray, decoded: pa.Array | None = None) -> None:
+        super().add(words)
+        self.bytes += decoded.to_pylist()
+
+    def decoded(self, words: np.ndarray) -> str:
+        return hashlib.sha256(b"".join(map(self.bytes.__getitem__, words.tolist()))).hexdigest()
+
+    def text(self, words: np.ndarray) -> tuple:
+        return self.of(words), self.decoded(words)
+
+
+class Digests(Decoded):
+    """Gives the number of a text's ids, and digests of their decimal text and of the bytes that they decode to."""
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.decimals = [str(k).encode() for k in range(max(ranks.values()) + 1)]
+
+    def text(self, words: np.ndarray) -> tuple:
+        ids = self.of(words).tolist()
+        pick = itemgetter(*ids)(self.decimals) if len(ids) > 1 else [self.decimals[k] for k in ids]
+        return len(ids), hashlib.sha256(b",".join(pick)).hexdigest(), self.decoded(words)
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", make: type[Ids] = Ids, words_held: int | None = None, units_held: int | None = None) -> DataFrame:
     """``id_col``, and ids (array of int) of each whole text under the ranks, each match of ``pattern`` by itself.
 
     Equal to the tiktoken library's encode_ordinary with these ranks. A null text counts as empty and has no ids;
     repeated rows are each encoded, a null id is kept, an empty table gives an empty result, and columns other than
-    the two are not carried. Words longer than FOLD_BYTES are merged by a heap, with the same result.
+    the two are not carried. Words longer than FOLD_BYTES are merged by a heap, with the same result: the fold's time grows
+    with the square of a word's length, and a text may be one word. ``make`` may give other fields than the ids, such as
+    :class:`Decoded` and :class:`Digests`.
 
-    The session's Arrow batches are limited to BATCH_ROWS rows, as two Python workers and the JVM hold one each.
-    A task remembers ``words_held`` distinct words before it begins anew, and ``units_held`` units of text; fewer take less
-    memory and more time, with the same result. ``make`` may replace the ids by other ``fields``: called with the ranks, it gives an object like :class:`Ids`.
+    The result is written to the shared folder at once, as Arrow batches are limited to BATCH_ROWS rows meanwhile: two Python
+    workers and the JVM hold one each. A task remembers ``words_held`` distinct words before it begins anew, and
+    ``units_held`` units of text; fewer take less memory and more time, with the same result.
     """
     spark = df.sparkSession
-    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(limit, str(min(int(spark.conf.get(limit)), BATCH_ROWS)))
     words_held, units_held = words_held or WORDS_HELD, units_held or UNITS_HELD
     ranks = load_ranks(ranks_path)
     shared = spark.sparkContext.broadcast((ranks, [exact_pattern(pattern, x) for x in LIMITS]))
-    fields = fields or [T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    make = make or Ids
+    fields = make.fields
     names = ["row_id", "words", "long", "doc", "anew"]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, patterns = shared.value
-        plain, latin, every = (regex.compile(p).findall for p in patterns)
-        numbers: dict[str, int] = {}
-        known: dict[str, bytes] = {}
-        limit = chr(LIMITS[1])
-
-        def number(word: str, fresh: list[str]) -> int:
-            if (k := numbers.get(word)) is None:
-                k = numbers[word] = len(numbers)
-                fresh.append(word)
-            return k
-
+        listing = Listing(patterns, units_held)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                fresh: list[str] = []
-                if anew := len(numbers) > words_held:
-                    numbers.clear()
-                    known.clear()
-                texts = units_of(part.column(1))
-                new = set().union(*texts).difference(known)
-                for u in new:
-                    known[u] = array("i", [number(word, fresh) for word in (plain if u.isascii() else latin if max(u) < limit else every)(u)]).tobytes()
-                get = known.__getitem__
-                docs = [b"".join(map(get, own)) for own in texts]
-                full = len(known) > units_held
-                for u in new:
-                    if full or len(u) > 64:
-                        del known[u]
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                if anew := listing.words > words_held:
+                    listing.begin()
+                fresh, docs = listing.list(part.column(1))
                 words = [w.encode() for w in fresh]
                 folded = [_byte_lists([w if len(w) <= FOLD_BYTES else b"" for w in words[k : k + WORDS_PER_ROW]]) for k in range(0, len(words), WORDS_PER_ROW)]
                 heaped = [[None if len(w) <= FOLD_BYTES else merge_by_heap(w, ranks) for w in words[k : k + WORDS_PER_ROW]] for k in range(0, len(words), WORDS_PER_ROW)]
@@ -368,7 +491,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 else:
                     if anew[k].as_py():
                         kept = make(shared.value[0])
-                    kept.add(ids_of[k].values)
+                    own = ids_of[k].values
+                    kept.add(own.field("ids"), own.field("bytes")) if make.decodes else kept.add(own)
             if rows:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, a) for c, a in zip(columns, arrow, strict=True))], names=schema.names)
@@ -382,7 +506,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     middle = T.StructType([T.StructField("row_id", id_type), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("doc", T.BinaryType()), T.StructField("anew", T.BooleanType())])
     whole = wide_tasks(texts).mapInArrow(releasing(listed), middle)
     merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, F.when(F.size(w) > 0, RankMap(ranks).fold(w))))
-    return whole.select("row_id", F.when(F.col("words").isNotNull(), merged).alias("ids"), "doc", "anew").mapInArrow(releasing(joined), schema)
+    if make.decodes:
+        merged = F.transform(merged, lambda ids: F.struct(ids.alias("ids"), _decoded(ids, ranks).alias("bytes")))
+    folded = whole.select("row_id", F.when(F.col("words").isNotNull(), merged).alias("ids"), "doc", "anew")
+    with batches_of(spark, BATCH_ROWS):
+        return materialize(folded.mapInArrow(releasing(joined), schema), "token-ids")
 
 
 def _byte_lists(words: list[bytes]) -> pa.ListArray:
@@ -399,34 +527,26 @@ def wide_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(few) if few < parts else df
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of each row's ids, by concatenating their binary pieces; null ids give null."""
-    ranks = load_ranks(ranks_path)
+def _decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of ids: their pieces, looked up in a literal table, one after the other."""
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, k in ranks.items():
         pieces[k] = token
     table = F.expr("split('" + ",".join(p.hex() for p in pieces) + "', ',')")
-    return df.withColumn(out_col, F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")))
-
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
 
-class Digests(Ids):
-    """Gives the number of a text's ids, and digests of their decimal text and of the bytes that they decode to."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__(ranks)
-        self.pieces = [b""] * (max(ranks.values()) + 1)
-        for token, k in ranks.items():
-            self.pieces[k] = token
-        self.decimals = [str(k).encode() for k in range(len(self.pieces))]
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with the bytes of each row's ids, by concatenating their binary pieces.
 
-    def text(self, words: np.ndarray) -> tuple[int, str, str]:
-        ids = self.of(words).tolist()
-        pick = itemgetter(*ids) if len(ids) > 1 else lambda table: [table[i] for i in ids]
-        return len(ids), hashlib.sha256(b",".join(pick(self.decimals))).hexdigest(), hashlib.sha256(b"".join(pick(self.pieces))).hexdigest()
+    Null ids give null, no ids no bytes; an id that the ranks don't have gives no bytes; a column named ``out_col`` is replaced.
+    """
+    return df.withColumn(out_col, _decoded(F.col(ids_col), load_ranks(ranks_path)))
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes decoded from the ids)."""
+    """n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the bytes decoded from the ids).
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return encode(df, ranks_path, pattern, id_col, text_col, Digests, fields)
+    Rows and odd values are treated as by :func:`encode`.
+    """
+    return encode(df, ranks_path, pattern, id_col, text_col, Digests)
