@@ -380,7 +380,7 @@ class Ids:
         self.words = 0
 
     @staticmethod
-    def _grown(held: np.ndarray, size: int) -> np.ndarray:
+    def grown(held: np.ndarray, size: int) -> np.ndarray:
         return held if len(held) >= size else np.concatenate([held, np.zeros(max(size, 2 * len(held)) - len(held), held.dtype)])
 
     def add(self, words: pa.ListArray, decoded: pa.Array | None = None) -> None:
@@ -388,7 +388,7 @@ class Ids:
         bounds = words.offsets.to_numpy()
         fresh = words.values.to_numpy()[bounds[0] : bounds[-1]]
         begin, n = int(self.starts[self.words]), len(words)
-        self.starts, self.ids = self._grown(self.starts, self.words + n + 1), self._grown(self.ids, begin + len(fresh))
+        self.starts, self.ids = self.grown(self.starts, self.words + n + 1), self.grown(self.ids, begin + len(fresh))
         self.starts[self.words + 1 : self.words + n + 1] = begin + (bounds[1:] - bounds[0])
         self.ids[begin : begin + len(fresh)] = fresh
         self.words += n

@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,23 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import scratch_path, text_or_empty
-from strandline.llm.token_ids import units_of, wide_tasks
+from strandline.llm.common import releasing, scratch_path, text_or_empty
+from strandline.llm.token_ids import Ids, distinct_units, wide_tasks
 
 #: Fixed values of the format: magic numbers and the layout of header, index entry and footer.
 MAGIC, END = b"STRNDID1", b"STRNDEND"
 HEADER, FOOTER = struct.Struct("<8s32sB7x"), struct.Struct("<QQQ8s")
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u4"), ("null", "u1"), ("pad", "u1", 7)])
-#: Documents and bytes of text on which a dictionary is trained at most, and the dictionary's size.
-SAMPLE_DOCS, SAMPLE_TEXT, DICTIONARY_BYTES = 2000, 16_384, 64 << 10
+#: Documents, and bytes of the serialized ids of each, on which a dictionary is trained at most, and the dictionary's size.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 16_384, 64 << 10
 #: Texts that one file should hold, in bytes.
 FILE_BYTES = 64 << 20
+#: What orders documents: the id, a null one first, and a hash of the text.
+_KEY, _NULL = np.dtype([("id", "<i8"), ("tie", "<i8")]), np.iinfo(np.int64).min
 #: Units of text whose ids a task remembers.
 UNITS_HELD = 1_000_000
+#: Texts that are encoded together: more meet more units once, and take more memory.
+PART_ROWS = 2048
 LEVEL = 3
 
 
@@ -47,13 +52,14 @@ class Settings:
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit with a tokenizers file, remembering the ids of units as bytes."""
+    """Encodes texts unit by unit with a tokenizers file; the ids of units stand side by side, numbered by their unit."""
 
     def __init__(self, tokenizer: str, dtype: np.dtype):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_str(tokenizer), dtype, {}
+        self.flat, self.starts, self.count = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), 0
         self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype).tobytes() for m in ".,"}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -63,13 +69,13 @@ class UnitEncoder:
     def _fresh(self, fresh: list[str]) -> None:
         """A mark at the end of a word is a token of its own, so the word is encoded without it. Units that begin with a
         space are encoded many at once: they split at those spaces, and the tokens' sizes tell where each begins."""
+        known, got = self.known, {}
         marked = {u: u[:-1] for u in fresh if u[-1:] in self.marks and "a" <= u[-2:-1] < "\u0250" and u[-2].isalpha()}
-        known = self.known
-        fresh = list({v for u in fresh if (v := marked.get(u, u)) not in known})
-        spaced = [u for u in fresh if u[:1] == " " and u[1:2].strip() and u[-1:].strip()]
+        need = list(dict.fromkeys(v for u in fresh if (v := marked.get(u, u)) not in known))
+        plain = [u[:1] == " " and u[1:2].strip() != "" and u[-1:].strip() != "" for u in need]
+        spaced, singles = list(compress(need, plain)), [u for u, own in zip(need, plain, strict=True) if not own]
         chunks = [spaced[k : k + 1024] for k in range(0, len(spaced), 1024)]
         width = self.dtype.itemsize
-        singles = [u for u in fresh if not (u[:1] == " " and u[1:2].strip() and u[-1:].strip())]
         for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
             begins = np.concatenate([[0], np.cumsum(self.sizes[ids])])
@@ -80,29 +86,54 @@ class UnitEncoder:
                 continue
             data, at = ids.astype(self.dtype).tobytes(), 0
             for u, cut in zip(chunk, (cuts * width).tolist(), strict=True):
-                self.known[u] = data[at:cut]
+                got[u] = data[at:cut]
                 at = cut
         for u, e in zip(singles, self.tokenizer.encode_batch_fast(singles, add_special_tokens=False), strict=True):
-            self.known[u] = np.array(e.ids, self.dtype).tobytes()
+            got[u] = np.array(e.ids, self.dtype).tobytes()
         for u, word in marked.items():
-            known[u] = known[word] + self.marks[u[-1]]
+            if (own := got.get(word)) is None:
+                own = self._held(known[word])
+            got[u] = own + self.marks[u[-1]]
+        if got:
+            ids, sizes = np.frombuffer(b"".join(got.values()), self.dtype), np.fromiter(map(len, got.values()), np.int64, len(got)) // width
+            begin, end = int(self.starts[self.count]), self.count + len(got)
+            self.starts, self.flat = Ids.grown(self.starts, end + 1), Ids.grown(self.flat, begin + len(ids))
+            self.starts[self.count + 1 : end + 1] = begin + np.cumsum(sizes)
+            self.flat[begin : begin + len(ids)] = ids
+            known.update(zip(got, range(self.count, end), strict=True))
+            self.count = end
+
+    def _held(self, number: int) -> bytes:
+        return self.flat[self.starts[number] : self.starts[number + 1]].tobytes()
+
+    def _forget(self, count: int, entries: int) -> None:
+        """Drop what came last, down to so many units."""
+        for _ in range(len(self.known) - entries):
+            self.known.popitem()
+        self.count = count
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """The serialized ids of each text."""
-        units = units_of(column)
-        before = len(self.known)
-        whole = [own[0] for own in units if len(own) == 1]
-        self._fresh(list(set().union(*units).difference(self.known)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, own)) for own in units]
-        if len(self.known) > UNITS_HELD:
-            for _ in range(len(self.known) - before):  # the newest go
-                self.known.popitem()
-        else:
-            for u in whole:
-                if len(u) > 64:
-                    self.known.pop(u, None)
-        return out
+        names, numbers, sizes = distinct_units(column)
+        known = self.known
+        found = list(map(known.get, names))
+        late = [k for k, number in enumerate(found) if number is None]
+        before = self.count, len(known)
+        self._fresh([names[k] for k in late if len(names[k]) <= 64])
+        if self.count <= UNITS_HELD:  # short units stay as long as there is room
+            before = self.count, len(known)
+        self._fresh([names[k] for k in late if len(names[k]) > 64])
+        for k in late:
+            found[k] = known[names[k]]
+        places = np.array(found, np.int64)
+        first = self.starts[places]
+        lengths = self.starts[places + 1] - first
+        counts = lengths[numbers]
+        ends = np.cumsum(counts)
+        data = self.flat[np.repeat(first[numbers] - ends + counts, counts) + np.arange(int(counts.sum()))].tobytes()
+        self._forget(*before)
+        bounds = (np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])] * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -179,20 +210,37 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def _sample(docs: DataFrame, tokenizer: str, dtype: np.dtype, rows: int) -> list[bytes]:
-    every = max(1, rows // SAMPLE_DOCS)
-    picked = docs.filter((F.octet_length("text") <= SAMPLE_TEXT) & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
-    texts = [r.text for r in picked.select("text").limit(2 * SAMPLE_DOCS).collect()]
-    return UnitEncoder(tokenizer, dtype).encode(pa.array(texts, pa.string()))
+    """Serialized ids of documents picked by a hash, whatever their length, each cut to SAMPLE_BYTES."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = UnitEncoder(tokenizer, dtype)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in encoder.encode(batch.column(0))], pa.binary())], names=["ids"])
+
+    every = max(1, 2 * rows // SAMPLE_DOCS)
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(every)) == 0).select("text")
+    return [bytes(r.ids) for r in picked.mapInArrow(releasing(cut), "ids binary").limit(SAMPLE_DOCS).collect()]
+
+
+def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Where files begin: the first (id, tie) of each but the first, as Spark's range partitioning finds them from ids alone."""
+    if parts < 2:
+        return np.zeros(0, _KEY)
+    ranged = docs.select("doc_id", "tie").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "tie")).alias("first")).collect()
+    keys = sorted((r.first.doc_id if r.first.doc_id is not None else _NULL, r.first.tie) for r in firsts)
+    return np.array(keys[1:], _KEY)
 
 
 def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> tuple[str, bytes, list[tuple[str, int, int]]]:
     """Write the ids of every whole text, ``end_id`` after each, and return (folder, dictionary, files).
 
-    ``files`` lists (uri, documents, tokens) by ascending ids. The dictionary is trained on at most about SAMPLE_DOCS texts
-    of at most SAMPLE_TEXT bytes; it only helps compression. A null text is empty and holds the end id alone; null
-    ids stand first; rows with the same id follow each other, by their content; an empty table gives no files. Other columns are
-    not carried. The order of ids comes from quantiles of the id column alone, so texts are encoded once and only
-    compressed frames are shuffled. A task that runs again writes its file anew under the same name.
+    ``files`` lists (uri, documents, tokens) by ascending ids. The dictionary is trained on at most SAMPLE_DOCS documents,
+    SAMPLE_BYTES of the serialized ids of each; it only helps compression. A null text is empty and holds the end id alone; null
+    ids stand first; rows with the same id follow each other, by a hash of their text, and may go on in the next file; an
+    empty table gives no files. Other columns are not carried. The order of ids comes from ranges of the id column alone, so
+    texts are encoded once and only compressed frames are shuffled, each file's to a task of its own. A task that runs again
+    writes its file anew under the same name; a store must move a file at once for that name never to show half a file.
     """
     spark = df.sparkSession
     folder = (folder or scratch_path(spark, "token-ids")).rstrip("/")
@@ -202,31 +250,27 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | Non
 
     width = 2 if max(Tokenizer.from_str(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
     dtype = np.dtype(f"<u{width}")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     stats = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     if not stats.rows:
         return folder, b"", []
     dictionary = train_dictionary(_sample(docs, tokenizer, dtype, stats.rows))
-    parts = max(1, -(-stats.size // file_bytes))
-    cuts = [k / parts for k in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx("doc_id", F.lit(cuts), 100 * parts).alias("q")).first().q if cuts else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    bounds = _bounds(docs, -(-stats.size // file_bytes))
     shared = spark.sparkContext.broadcast((Settings(tokenizer, end_id, dictionary, folder, width), bounds))
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bounds = shared.value
         encoder = UnitEncoder(own.tokenizer, dtype)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(own.dictionary)).compress
         end = np.array([own.end_id], dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
                 ids = [x + end for x in encoder.encode(part.column(1))]
-                keys = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32)), part.column(0), pa.array([len(x) // own.width for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())],
-                    names=["file", "doc_id", "tokens", "frame"],
-                )
+                keys = np.empty(part.num_rows, _KEY)
+                keys["id"], keys["tie"] = part.column(0).fill_null(_NULL).to_numpy(), part.column(2).to_numpy()
+                files = pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([files, part.column(0), part.column(2), pa.array([len(x) // own.width for x in ids], pa.int64()), pa.array([pack(x) for x in ids], pa.binary())], names=["file", "doc_id", "tie", "tokens", "frame"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value[0]
@@ -237,7 +281,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | Non
             return pa.RecordBatch.from_pylist([{"file": now, "docs": docs, "tokens": tokens}], schema=pa.schema([("file", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            for file, doc_id, tokens, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file, doc_id, _, tokens, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != now:
                     if writer:
                         yield done()
@@ -246,8 +290,9 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | Non
         if writer:
             yield done()
 
-    frames = wide_tasks(docs).mapInArrow(compress, "file int, doc_id long, tokens long, frame binary")
-    written = frames.repartition("file").sortWithinPartitions("file", "doc_id", "tokens", "frame").mapInArrow(store, "file int, docs long, tokens long").collect()
+    frames = wide_tasks(docs).mapInArrow(releasing(pack_frames), "file int, doc_id long, tie long, tokens long, frame binary")
+    sorted_frames = frames.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", "doc_id", "tie", "frame")
+    written = sorted_frames.mapInArrow(releasing(store), "file int, docs long, tokens long").collect()
     return folder, dictionary, [(file_uri(folder, r.file), r.docs, r.tokens) for r in sorted(written, key=lambda r: r.file)]
 
 
@@ -256,16 +301,19 @@ def file_uri(folder: str, file: int) -> str:
 
 
 def read_ids(spark: SparkSession, dictionary: bytes, files: list[tuple[str, int, int]]) -> DataFrame:
-    """Read the files back: doc_id, start (ids of all documents before), n_tokens and ids_crc32, from the ids as stored."""
+    """Read the files back: doc_id, start (ids of all documents before), n_tokens and ids_crc32, from the ids as stored.
+
+    One row for each document that was written, repeated ones too; a null id comes back as null; no files give no rows.
+    """
     before, rows = 0, []
     for uri, _, tokens in files:
-        rows.append((uri, before))
+        rows.append((uri, before, len(rows)))
         before += tokens
     shared = spark.sparkContext.broadcast(dictionary)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for uri, start, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = Reader(uri, shared.value)
                 counts = np.zeros(len(reader.index), np.int64)
                 crcs = np.zeros(len(reader.index), np.int64)
@@ -275,5 +323,5 @@ def read_ids(spark: SparkSession, dictionary: bytes, files: list[tuple[str, int,
                 doc = pa.array(reader.index["id"].copy(), pa.int64(), mask=reader.index["null"].astype(bool))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start + np.cumsum(counts) - counts), pa.array(counts), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    table = spark.createDataFrame(rows, "uri string, start long")
-    return table.repartition(max(1, len(rows)), "uri").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    table = spark.createDataFrame(rows, "uri string, start long, number int")
+    return table.repartitionById(max(1, len(rows)), "number").mapInArrow(releasing(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -53,6 +53,17 @@ def test_rare_texts_and_round_trip(spark, library, monkeypatch):
     back = {r.doc_id: bytes(r.decoded).decode() for r in token_ids.decode(rows, RANKS).filter("doc_id is not null").collect()}
     assert all(back[k] == (t or "") for k, t in enumerate(texts) if k % 50)
     assert token_ids.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    both = token_ids.encode(df, RANKS, public_tokenizers.PATTERN, make=token_ids.Decoded).filter("doc_id is not null").collect()
+    assert all((r.ids, r.decoded_sha256) == (ids[r.doc_id], hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()) for r in both)
+    nothing = spark.createDataFrame([(1, None), (2, []), (3, [0, 10**6])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in token_ids.decode(nothing, RANKS).orderBy("doc_id").collect()] == [None, b"", next(k for k, v in token_ids.load_ranks(RANKS).items() if v == 0)]
+
+
+def test_the_sessions_batches_stay_as_they_were(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    token_ids.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
+    assert spark.conf.get(name) == before
 
 
 @settings(max_examples=300, deadline=None)
@@ -118,6 +129,19 @@ def test_files_index_and_rare_texts(spark, tmp_path):
     assert folder == f"file://{tmp_path}/ids"
 
 
+def test_one_id_over_many_files_and_long_texts_in_the_sample(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["one", "two", "three", "vier"]) for _ in range(n))
+    rows = [(7 if k % 3 else None, text(6000)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, dictionary, files = token_store.write_ids(df, JSON, 2, f"file://{tmp_path}/ids", file_bytes=100_000)
+    assert len(files) > 8 and max(f[1] for f in files) < 20 and dictionary
+    got = sorted((tuple(r) for r in token_store.read_ids(spark, dictionary, files).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 20 + [7] * 40
+    tokenizer = Tokenizer.from_file(JSON)
+    assert sorted(r[3] for r in got) == sorted(r[3] for r in plain(rows, tokenizer))
+
+
 def test_repeated_ids_follow_each_other(spark, tmp_path):
     df = spark.createDataFrame([(7, "a b"), (7, "a b"), (3, "c")] * 5, "doc_id long, text string")
     _, dictionary, files = token_store.write_ids(df, JSON, 2, f"file://{tmp_path}/ids")
