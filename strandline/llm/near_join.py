@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm import words as W
-from strandline.llm.common import batches_of, materialize, releasing, text_blocks
+from strandline.llm.common import batches_of, materialize, releasing, remove_path, stored, text_blocks
 from strandline.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -32,6 +32,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT = 4_000_000
 #: Shingles that are counted together in a task when it looks for repeated tokens.
 COUNTED = 2_000_000
+#: Slots of the table of counts at most, half a byte each; it is broadcast. Tokens that meet in a slot only sort later.
+COUNT_SLOTS = 1 << 27
 #: Documents of a block; cells beyond that are verified block against block.
 BLOCK_DOCS = 256
 #: Rows of an Arrow batch, so that a task holds few texts or sets at once.
@@ -96,20 +98,64 @@ def may_link(sketches: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
-def _members(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts, the last column of ``rows``: the other columns with n and node of each row's set, and how
-    often tokens repeat within a task's share."""
+def counted_share(percent: int) -> int:
+    """Tokens are counted whose rank under the first order lies below this: twice as many as a prefix takes."""
+    return min(1 << 56, (2 * (100 - percent) << 56) // 100)
+
+
+def _slot(rank: np.ndarray, share: int, slots: int) -> np.ndarray:
+    """The slot of a counted token, by its rank: slots lie in the order of ranks."""
+    return ((rank >> W.U(24)) * W.U(slots) // W.U((share >> 24) + 1)).astype(np.int64)
+
+
+#: How often a token occurs, as a class of half a byte; 0 stands for once or never.
+_TIMES = np.array([0, 0, *range(1, 9), 9, 9, 10, 10, 10, 11, 11, 11, 11, 12, 12, 12, 12, 12, 13, 13, 13, 13, 13, 13, 14], np.uint8)
+#: Counted tokens that one bucket should hold.
+COUNTED_ROWS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Counts:
+    """How often the tokens of the lowest ranks under the first order occur in the whole table, two slots in a byte."""
+
+    table: np.ndarray
+    share: int
+
+    def tiers(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which ranks are of counted tokens, and the classes of their counts."""
+        counted = np.flatnonzero(rank < W.U(self.share))
+        slot = _slot(rank[counted], self.share, 2 * len(self.table))
+        return counted, self.table[slot >> 1] >> (4 * (slot & 1)).astype(np.uint8) & 15
+
+
+def _members(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, Counts]:
+    """One pass over the texts, the last column of ``rows``: the other columns with n and node of each row's set, how often
+    tokens repeat within a task's share, and how often those of the lowest ranks occur in all."""
     kept = len(rows.columns) - 1
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[:kept]], *[T.StructField(c, T.LongType()) for c in ("n", "node", "token", "times")]])
+    spark, share = rows.sparkSession, counted_share(percent)
+    names = ["n", "node", "token", "times", "part", "ranks"]
+    kinds_of = [T.LongType()] * 4 + [T.IntegerType(), T.BinaryType()]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[:kept]], *[T.StructField(c, t) for c, t in zip(names, kinds_of, strict=True)]])
+    parts = 256
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held, kinds = [], 0, []
+        held, n_held, kinds, seen = [], 0, [], set()
 
-        def repeated() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        def batch_of(size: int, **columns) -> pa.RecordBatch:
+            given = {"n": pa.int64(), "node": pa.int64(), "token": pa.int64(), "times": pa.int64(), "part": pa.int32(), "ranks": pa.binary()}
+            return pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in kinds), *(columns.get(c, pa.nulls(size, t)) for c, t in given.items())], names=schema.names)
+
+        def repeated() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(held)
+            tokens, counts = np.unique(every, return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
-            absent = [pa.nulls(len(tokens), t) for t in (*kinds, pa.int64(), pa.int64())]
-            return pa.RecordBatch.from_arrays([*absent, pa.array(tokens.view(np.int64)), pa.array(counts)], names=schema.names)
+            yield batch_of(len(tokens), token=pa.array(tokens.view(np.int64)), times=pa.array(counts))
+            ranks = W.mix(every ^ W.U(_SEEDS[0])) >> W.U(8)
+            ranks = np.sort(ranks[ranks < W.U(share)])
+            cuts = np.searchsorted(_slot(ranks, share, parts), np.arange(parts + 1))
+            short = (ranks >> W.U(8)).astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
+            own = np.flatnonzero(np.diff(cuts))
+            yield batch_of(len(own), part=pa.array(own, pa.int32()), ranks=pa.array([short[cuts[k] : cuts[k + 1]].tobytes() for k in own.tolist()], pa.binary()))
 
         for batch in batches:
             kinds = [c.type for c in batch.columns[:kept]]
@@ -117,18 +163,66 @@ def _members(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             for _, own in text_sets(batch.column(kept), width):
                 ns.append(len(own))
                 nodes.append(node_of(own) if len(own) else None)
-                held.append(own)
-                n_held += len(own)
+                if len(own) and nodes[-1] not in seen:  # copies count once in a task's share
+                    seen.add(nodes[-1])
+                    held.append(own)
+                    n_held += len(own)
                 if n_held >= COUNTED:
-                    yield repeated()
+                    yield from repeated()
                     held, n_held = [], 0
-            absent = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), absent, absent], names=schema.names)
+                    seen.clear()
+            full = batch_of(len(ns), n=pa.array(ns, pa.int64()), node=pa.array(nodes, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *full.columns[kept:]], names=schema.names)
         if held:
-            yield repeated()
+            yield from repeated()
+
+    both, path = stored(rows.mapInArrow(releasing(scan), schema), "near-scan")
+    members = materialize(both.filter("n is not null").drop("token", "times", "part", "ranks"), "near-members")
+    repeats = materialize(both.filter("times is not null").select("token", "times"), "near-repeats")
+    counts = _counts(both.filter("part is not null").select("part", "ranks"), share, parts)
+    remove_path(spark, path)
+    return members, repeats, counts
+
+
+def _counts(ranks: DataFrame, share: int, parts: int) -> Counts:
+    """Counts of tokens by their ranks, given in ``parts`` ranges of ranks; ranges are as fine as the table is large."""
+    total = ranks.agg(F.coalesce(F.sum(F.octet_length("ranks")), F.lit(0)).alias("n")).first().n // 6
+    slots = min(COUNT_SLOTS, max(1 << 16, 1 << (total // 2).bit_length()))
+    finer = max(1, -(-total // (parts * COUNTED_ROWS)))
+    finer = 1 << (finer - 1).bit_length()
+    size = slots // parts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            own = np.zeros((len(b"".join(held)) // 6, 4), "<u2")
+            own[:, :3] = np.frombuffer(b"".join(held), "<u2").reshape(-1, 3)
+            # a bucket's tokens are counted in slices of their ranks, which bounds what is sorted at once
+            full, classes = own.reshape(-1).view("<u8") << W.U(8), np.zeros(size, np.uint8)
+            by = _slot(full, share, parts * finer)
+            for k in range(key * finer, (key + 1) * finer):
+                tokens, times = np.unique(full[by == k], return_counts=True)
+                tokens, times = tokens[times > 1], times[times > 1]
+                if len(tokens):
+                    slot = np.clip(_slot(tokens, share, slots) - key * size, 0, size - 1)
+                    np.maximum.at(classes, slot, _TIMES[np.minimum(times, len(_TIMES) - 1)])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([(classes[::2] | classes[1::2] << 4).tobytes()], pa.binary())], names=["part", "classes"])
 
-    both = materialize(rows.mapInArrow(releasing(scan), schema), "near-members")
-    return both.filter("times is null").drop("token", "times"), both.filter("times is not null").select("token", "times")
+        key, held = None, []
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != key:
+                    if held:
+                        yield close()
+                    key, held = part, []
+                held.append(blob)
+        if held:
+            yield close()
+
+    table = np.zeros((parts, size // 2), np.uint8)
+    found = ranks.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(count), "part int, classes binary").toArrow()
+    for part, classes in zip(found["part"].to_pylist(), found["classes"].to_pylist(), strict=True):
+        table[part] = np.frombuffer(classes, np.uint8)
+    return Counts(table.reshape(-1), share)
 
 
 def _frequent(repeats: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,22 +243,36 @@ def _frequent(repeats: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], classes[order]
 
 
-def _rank(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys of tokens under one of the global orders: rarest first by classes of counts, ties by a permutation."""
+def _rank(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int, counts: Counts | None = None) -> np.ndarray:
+    """Sort keys of tokens under one of the global orders: rarest first by classes of counts, ties by a permutation.
+
+    With ``counts``, the first order begins with tokens that were counted, the rarest first; then come those that weren't,
+    and then those that are known to be frequent.
+    """
     rank = W.mix(own ^ W.U(_SEEDS[order])) >> W.U(8)
+    exact = counts is not None and order == 0
+    if exact:
+        counted, times = counts.tiers(rank)
+        tier = np.full(len(rank), 15, np.uint8)
+        tier[counted] = np.where(times == 14, 16, times)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
         known = np.flatnonzero(tokens[at] == own)
-        if len(known):
+        if exact:
+            known = known[tier[known] >= 15]
+            tier[known] = 16 + classes[at[known]].astype(np.int64) * 15 // 16
+        elif len(known):
             rank[known] |= (1 + classes[at[known]].astype(W.U) // W.U(1 if order == 0 else 4)) << W.U(56)
+    if exact:
+        rank |= tier.astype(W.U) << W.U(56)
     return rank
 
 
-def prefix(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+def prefix(own: np.ndarray, tokens: np.ndarray, classes: np.ndarray, order: int, percent: int = PERCENT, counts: Counts | None = None) -> np.ndarray:
     """The tokens of which a similar set must share one."""
     n = len(own)
     size = n - (percent * n + 99) // 100 + 1
-    return own if size >= n else own[np.argpartition(_rank(own, tokens, classes, order), size - 1)[:size]]
+    return own if size >= n else own[np.argpartition(_rank(own, tokens, classes, order, counts), size - 1)[:size]]
 
 
 #: A function, called in each task, that gives a function of a batch, which yields (node, size, tokens) of sets; tokens are
@@ -176,12 +284,12 @@ def _first_order(shared, percent: int, width: int) -> Pull:
     """Prefixes under the first order, from texts."""
 
     def make():
-        tokens, classes = shared.value
+        tokens, classes, counts = shared.value
 
         def pull(batch: pa.RecordBatch):
             for _, own in text_sets(batch.column(0), width):
                 if len(own):
-                    yield node_of(own), len(own), partial(prefix, own, tokens, classes, 0, percent)
+                    yield node_of(own), len(own), partial(prefix, own, tokens, classes, 0, percent, counts)
 
         return pull
 
@@ -205,9 +313,9 @@ def _later_order(order: int, orders: int) -> Pull:
 #: only makes a cell larger.
 _ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
 #: Prefix tokens that a task sorts at once, and that one bucket should hold.
-CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 2_000_000
+CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 1_000_000
 #: Edges that a task holds before it sends the distinct ones.
-EDGES_HELD = 1_000_000
+EDGES_HELD = 500_000
 
 
 def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,7 +470,7 @@ def _later_filters(shared, percent: int, width: int, orders: int):
     """Sets of texts with their sketch, and their prefixes under all orders but the first."""
 
     def make():
-        tokens, classes = shared.value
+        tokens, classes, counts = shared.value
 
         def more(own: np.ndarray) -> tuple[bytes, bytes]:
             return sketch(own), b"".join(prefix(own, tokens, classes, order, percent).tobytes() for order in range(1, orders))
@@ -381,10 +489,10 @@ def _all_filters(shared, percent: int, width: int, orders: int):
     """Sets of texts with their sketch, and shortened tokens of their prefixes under all orders."""
 
     def make():
-        tokens, classes = shared.value
+        tokens, classes, counts = shared.value
 
         def more(own: np.ndarray) -> tuple[bytes, bytes]:
-            filters = [prefix(own, tokens, classes, order, percent) for order in range(orders)]
+            filters = [prefix(own, tokens, classes, order, percent, counts) for order in range(orders)]
             return sketch(own) + np.concatenate(filters).astype(np.uint32).tobytes(), b""
 
         def pull(batch: pa.RecordBatch):
@@ -547,8 +655,8 @@ def _links_of(rows: DataFrame, width: int, percent: int, orders: int, frequent:
     spark = rows.sparkSession
     sc = spark.sparkContext
     texts = rows.select(F.col(rows.columns[-1]).alias("text"))
-    members, repeats = _members(rows, width)
-    shared = sc.broadcast(_frequent(repeats, frequent))
+    members, repeats, counts = _members(rows, width, percent)
+    shared = sc.broadcast((*_frequent(repeats, frequent), counts))
     total = members.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("rows")).first().rows
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
     cells = connected_components(chained(texts, _first_order(shared, percent, width), percent, buckets), "near-cells")

@@ -187,3 +187,21 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4} | {100 + k: 100 for k in range(50)} | {200 + k: 200 for k in range(41)}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_counted_tokens_sort_first(spark):
+    """Tokens of other tasks' texts count too, so that a text's prefix is of tokens that no other text holds."""
+    own = {k: [f"own{k}x{i}" for i in range(60)] for k in range(8)}
+    rows = [(k, " ".join([*own[k], *(f"both{k // 2}x{i}" for i in range(60))])) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    _, _, counts = near_join._members(df.select("text"), 4, 85)
+    sets = [own for _, own in near_join.text_sets(near_join.pa.array([r[1] for r in rows]))]
+    tokens, times = np.unique(np.concatenate(sets), return_counts=True)
+    ranks = near_join.W.mix(tokens ^ near_join.W.U(near_join._SEEDS[0])) >> near_join.W.U(8)
+    counted, tiers = counts.tiers(ranks)
+    assert len(counted) and (tiers[times[counted] == 2] == near_join._TIMES[2]).all() and (tiers == 0).sum() > 0.9 * (times[counted] == 1).sum()
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    prefixes = [near_join.prefix(x, *nothing, 0, 85, counts) for x in sets]
+    shared = [len(np.intersect1d(prefixes[k], prefixes[k + 1])) for k in range(0, 8, 2)]
+    plain = [len(np.intersect1d(near_join.prefix(sets[k], *nothing, 0), near_join.prefix(sets[k + 1], *nothing, 0))) for k in range(0, 8, 2)]
+    assert sum(shared) < sum(plain)
