@@ -155,7 +155,7 @@ def _match_logistic(time: bool, leaves: bool = False):
         vectors = train.select(F.col("resume_id").alias("neighbour"), "date", M.sparse().alias("x"))
         how = "inner" if time else "left"
         found = near.join(vectors, ["neighbour", "date"], how).groupBy("resumeid", "date").agg(F.collect_list("x").alias("neighbours"))
-        train = train.join(found.withColumnRenamed("resumeid", "resume_id"), ["resume_id", "date"], how)
+        train = train.join(found.withColumnRenamed("resumeid", "resume_id"), ["resume_id", "date"], how).persist()
         train = E.undersample(train, ["resume_id", "date"])
         train = E.time_weights(train) if time else train
         model = M.Descent(match=0.1).model(train, weight="weight" if time else None)
@@ -192,7 +192,9 @@ def ml27_gamma_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = L.date_split(Tables(spark, sf_dir).samples().persist(), DIVIDER, exclusive=True)
     of = lambda label, prediction: F.count_if((F.col("label") == label) & (F.col("prediction") == prediction))
     measure = lambda rows: rows.agg(of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(0, 0).alias("tn"), of(1, 0).alias("fn"))
-    return M.sweep(train, test, lambda rows, gamma: M.Descent(gamma=gamma).model(rows), [k / 40 for k in range(13)], measure)
+    gammas = [k / 40 for k in range(13)]
+    weights = {gamma: found[0] for gamma, found in zip(gammas, M.Descent().fit_each(train, gammas), strict=True)}
+    return M.sweep(train, test, lambda _, gamma: M.Descent.scorer(weights[gamma]), gammas, measure)
 
 
 def _test_window(t: Tables) -> DataFrame:

@@ -69,3 +69,11 @@ def test_time_weights_and_neighbours(samples):
 def test_sweep(samples):
     rows = M.sweep(samples, samples, lambda d, depth: M.decision_tree(d, int(depth)), [1, 3], lambda p: p.agg(F.sum("prediction").alias("n"))).collect()
     assert [r.parameter for r in rows] == [1.0, 3.0]
+
+
+def test_several_gammas_in_one_pass(samples):
+    gammas = [0.0, 0.2, 0.3]
+    every = M.Descent(step=1.0).fit_each(samples, gammas)
+    for gamma, (weights, losses) in zip(gammas, every, strict=True):
+        alone, own = M.Descent(step=1.0, gamma=gamma).fit(samples)
+        assert np.allclose(weights, alone) and np.allclose(losses, own)
