@@ -125,7 +125,7 @@ def _trained(fit, samples=None, balance=True):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = Tables(spark, sf_dir)
-        rows = (samples or Tables.samples)(t).persist()
+        rows = M.few_tasks((samples or Tables.samples)(t))
         train, test = L.date_split(rows, DIVIDER)
         train = E.undersample(train, ["resume_id", "date"]) if balance else train
         return E.evaluate(fit(train)(test).select("date", F.col("label").cast("int").alias("label"), "prediction"))
