@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import releasing, scratch_path, text_or_empty
+from strandline.llm.common import batches_of, releasing, scratch_path, text_or_empty
 from strandline.llm.token_ids import Ids, distinct_units, wide_tasks
 
 #: Fixed values of the format: magic numbers and the layout of header, index entry and footer.
@@ -39,6 +39,8 @@ _KEY, _NULL = np.dtype([("id", "<i8"), ("tie", "<i8")]), np.iinfo(np.int64).min
 UNITS_HELD = 1_000_000
 #: Texts that are encoded together: more meet more units once, and take more memory.
 PART_ROWS = 2048
+#: Units that the tokenizer is given at once, in one text, and how many such texts; its results are many times as large as ids.
+UNITS_JOINED, TEXTS_AT_ONCE = 1024, 4
 LEVEL = 3
 
 
@@ -66,6 +68,10 @@ class UnitEncoder:
         for token, k in vocabulary.items():  # one character of a byte-level token stands for one byte
             self.sizes[k] = len(token)
 
+    def _encodings(self, texts: list[str], at_once: int) -> Iterator:
+        for k in range(0, len(texts), at_once):
+            yield from self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)
+
     def _fresh(self, fresh: list[str]) -> None:
         """A mark at the end of a word is a token of its own, so the word is encoded without it. Units that begin with a
         space are encoded many at once: they split at those spaces, and the tokens' sizes tell where each begins."""
@@ -74,9 +80,9 @@ class UnitEncoder:
         need = list(dict.fromkeys(v for u in fresh if (v := marked.get(u, u)) not in known))
         plain = [u[:1] == " " and u[1:2].strip() != "" and u[-1:].strip() != "" for u in need]
         spaced, singles = list(compress(need, plain)), [u for u, own in zip(need, plain, strict=True) if not own]
-        chunks = [spaced[k : k + 1024] for k in range(0, len(spaced), 1024)]
+        chunks = [spaced[k : k + UNITS_JOINED] for k in range(0, len(spaced), UNITS_JOINED)]
         width = self.dtype.itemsize
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        for chunk, e in zip(chunks, self._encodings(["".join(c) for c in chunks], TEXTS_AT_ONCE), strict=True):
             ids = np.array(e.ids, np.int64)
             begins = np.concatenate([[0], np.cumsum(self.sizes[ids])])
             ends = np.cumsum([len(u.encode()) for u in chunk])
@@ -88,7 +94,7 @@ class UnitEncoder:
             for u, cut in zip(chunk, (cuts * width).tolist(), strict=True):
                 got[u] = data[at:cut]
                 at = cut
-        for u, e in zip(singles, self.tokenizer.encode_batch_fast(singles, add_special_tokens=False), strict=True):
+        for u, e in zip(singles, self._encodings(singles, UNITS_JOINED * TEXTS_AT_ONCE), strict=True):
             got[u] = np.array(e.ids, self.dtype).tobytes()
         for u, word in marked.items():
             if (own := got.get(word)) is None:
@@ -292,7 +298,8 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int, folder: str | Non
 
     frames = wide_tasks(docs).mapInArrow(releasing(pack_frames), "file int, doc_id long, tie long, tokens long, frame binary")
     sorted_frames = frames.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("file", "doc_id", "tie", "frame")
-    written = sorted_frames.mapInArrow(releasing(store), "file int, docs long, tokens long").collect()
+    with batches_of(spark, PART_ROWS):  # no batch is larger than what is encoded together
+        written = sorted_frames.mapInArrow(releasing(store), "file int, docs long, tokens long").collect()
     return folder, dictionary, [(file_uri(folder, r.file), r.docs, r.tokens) for r in sorted(written, key=lambda r: r.file)]
 
 

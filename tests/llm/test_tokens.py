@@ -148,3 +148,25 @@ def test_repeated_ids_follow_each_other(spark, tmp_path):
     got = sorted((tuple(r) for r in token_store.read_ids(spark, dictionary, files).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [3] * 5 + [7] * 10
     assert [r[1] for r in got] == list(np.cumsum([0, *(r[2] for r in got)])[:-1])
+
+
+def test_few_units_and_rows_at_once(spark, tmp_path, monkeypatch):
+    """The tokenizer's results and Arrow's batches stay small however many texts there are."""
+    with open(JSON) as f:
+        encoder = token_store.UnitEncoder(f.read(), np.dtype("<u2"))
+    real, sizes = encoder.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(len(texts))
+            return real.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Spy()
+    texts = [f"x{k}y w{k}" for k in range(5000)]
+    got = encoder.encode(pa.array(texts))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in real.encode_batch_fast(texts, add_special_tokens=False)]
+    assert max(sizes) <= 4096
+    seen, limit = [], token_store.batches_of
+    monkeypatch.setattr(token_store, "batches_of", lambda session, rows: seen.append(rows) or limit(session, rows))
+    token_store.write_ids(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), JSON, 2, f"file://{tmp_path}/ids")
+    assert seen == [token_store.PART_ROWS]
