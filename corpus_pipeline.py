@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, language_id, near_join, secrets, token_ids
-from strandline.llm.common import fresh_name, held_out, materialize
+from strandline.llm.common import fresh_name, held_out, materialize, shrink_heaps
 
 #: Near copies: words of a shingle, and the least similarity in hundredths.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -32,6 +32,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows with a null id, null and empty texts, and texts without words stay; of equal rows one stays.
     """
+    shrink_heaps(spark)
     return near_join.keep_one(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
@@ -53,6 +54,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
+    shrink_heaps(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = token_ids.encode(docs, ranks, public_tokenizers.PATTERN, make=token_ids.Decoded, words_held=WORDS_HELD, units_held=UNITS_HELD)
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))

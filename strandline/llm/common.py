@@ -11,10 +11,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.words import forget_powers
+
 #: Bytes of text that the vectorised scanners hold at once; one longer text forms a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -69,6 +72,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def release() -> None:
     """Give freed memory back to the system; workers live on after a task, and would hold it beside the next stage's."""
+    forget_powers()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -76,18 +80,33 @@ def release() -> None:
         trim(0)
 
 
-def releasing(scan: Callable) -> Callable:
-    """A scan of Arrow batches that ends with :func:`release`."""
+def releasing(scan: Callable, *broadcasts: Broadcast) -> Callable:
+    """A scan of Arrow batches that ends with :func:`release`.
+
+    What it has read of ``broadcasts`` goes as well, as workers without a task would hold it beside those that have one; the
+    next task reads it anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from scan(batches)
         finally:
+            for x in broadcasts:
+                vars(x).pop("_value", None)
             release()
 
     return run
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let every executor's JVM collect its garbage and give free heap back to the system, as :func:`release` does for workers.
+
+    A heap stays as large as an earlier stage has made it, beside the Python workers of the next.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Limits Arrow batches to ``rows`` for what runs inside; the session's own limit holds again afterwards."""

@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,8 @@ COUNTED = 2_000_000
 COUNT_SLOTS = 1 << 27
 #: Documents of a block; cells beyond that are verified block against block.
 BLOCK_DOCS = 256
+#: Bytes of text that are hashed together; one longer text is hashed by itself.
+HASHED_BYTES = 1 << 18
 #: Rows of an Arrow batch, so that a task holds few texts or sets at once.
 BATCH_ROWS = 2048
 #: Bits of the set of documents that a later order still has to look at; a larger table only leaves more of them in.
@@ -45,7 +48,7 @@ _SEEDS = (0x51ED270B, 0x2F6E2B1D, 0x7A3D4C99)
 
 def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
     """For each text its row and its sorted distinct shingle hashes (none for a text without words)."""
-    for first, end, raw, offs in text_blocks(column):
+    for first, end, raw, offs in text_blocks(column, HASHED_BYTES):
         starts, ends = W.runs(low := W.LOWER[raw], offs, W.NOT_SPACE)
         hashes = W.word_hashes(low, starts, ends)
         grams = W.shingle_hashes(hashes, width)
@@ -147,11 +150,17 @@ def _members(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
 
         def repeated() -> Iterator[pa.RecordBatch]:
             every = np.concatenate(held)
-            tokens, counts = np.unique(every, return_counts=True)
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
-            yield batch_of(len(tokens), token=pa.array(tokens.view(np.int64)), times=pa.array(counts))
-            ranks = W.mix(every ^ W.U(_SEEDS[0])) >> W.U(8)
-            ranks = np.sort(ranks[ranks < W.U(share)])
+            held.clear()
+            every.sort()
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            counts = np.diff(at, append=len(every))
+            at, counts = at[counts > 1], counts[counts > 1]
+            yield batch_of(len(at), token=pa.array(every[at].view(np.int64)), times=pa.array(counts))
+            low = []
+            for k in range(0, len(every), 1 << 17):
+                ranks = W.mix(every[k : k + (1 << 17)] ^ W.U(_SEEDS[0])) >> W.U(8)
+                low.append(ranks[ranks < W.U(share)])
+            ranks = np.sort(np.concatenate(low))
             cuts = np.searchsorted(_slot(ranks, share, parts), np.arange(parts + 1))
             short = (ranks >> W.U(8)).astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
             own = np.flatnonzero(np.diff(cuts))
@@ -169,7 +178,7 @@ def _members(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
                     n_held += len(own)
                 if n_held >= COUNTED:
                     yield from repeated()
-                    held, n_held = [], 0
+                    n_held = 0
                     seen.clear()
             full = batch_of(len(ns), n=pa.array(ns, pa.int64()), node=pa.array(nodes, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *full.columns[kept:]], names=schema.names)
@@ -313,7 +322,7 @@ def _later_order(order: int, orders: int) -> Pull:
 #: only makes a cell larger.
 _ROW = np.dtype([("token", "<u2", 3), ("node", "<i8"), ("n", "<u4")])
 #: Prefix tokens that a task sorts at once, and that one bucket should hold.
-CHUNK_ROWS, BUCKET_ROWS = 1_000_000, 1_000_000
+CHUNK_ROWS, BUCKET_ROWS = 500_000, 1_000_000
 #: Edges that a task holds before it sends the distinct ones.
 EDGES_HELD = 500_000
 
@@ -350,8 +359,9 @@ def chains(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) ->
     return pairs[:, 0], pairs[:, 1], order[keep]
 
 
-def chained(rows: DataFrame, pull: Pull, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) that join all sets which share a token and whose sizes allow a link; ``pull`` gives sets and tokens."""
+def chained(rows: DataFrame, pull: Pull, percent: int, buckets: int, *broadcasts: Broadcast) -> DataFrame:
+    """Edges (a, b) that join all sets which share a token and whose sizes allow a link; ``pull`` gives sets and tokens, and
+    reads ``broadcasts``."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets_of = pull()
@@ -421,7 +431,7 @@ def chained(rows: DataFrame, pull: Pull, percent: int, buckets: int) -> DataFram
         if pairs:
             yield edges()
 
-    dealt = rows.mapInArrow(releasing(deal), "bucket int, rows binary")
+    dealt = rows.mapInArrow(releasing(deal, *broadcasts), "bucket int, rows binary")
     # a task's own edges carry no bucket: they are spread by their content
     spread = F.when(F.col("bucket") < 0, F.xxhash64("rows")).otherwise(F.col("bucket"))
     return dealt.repartition(spread).sortWithinPartitions("bucket").mapInArrow(releasing(meet), "a long, b long")
@@ -431,11 +441,12 @@ def chained(rows: DataFrame, pull: Pull, percent: int, buckets: int) -> DataFram
 BATCH_HASHES = 1_000_000
 
 
-def alive_sets(rows: DataFrame, pull, alive, whole: bool = True) -> DataFrame:
+def alive_sets(rows: DataFrame, pull, alive, *broadcasts: Broadcast, whole: bool = True) -> DataFrame:
     """(node, n, hashes, payload, filters) of the distinct sets that are still alive, written to the shared folder.
 
     ``pull``, called in each task, gives a function of a batch that yields node, set and a function that gives payload
-    (a sketch, and shortened filter tokens) and filters (whole ones); hashes are left empty unless ``whole``.
+    (a sketch, and shortened filter tokens) and filters (whole ones), and reads ``broadcasts``; hashes are left empty unless
+    ``whole``.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +473,7 @@ def alive_sets(rows: DataFrame, pull, alive, whole: bool = True) -> DataFrame:
         if held:
             yield flush()
 
-    found = rows.mapInArrow(releasing(scan), "node long, n long, hashes array<long>, payload binary, filters binary")
+    found = rows.mapInArrow(releasing(scan, alive, *broadcasts), "node long, n long, hashes array<long>, payload binary, filters binary")
     return materialize(found.dropDuplicates(["node"]), "near-sets")
 
 
@@ -659,9 +670,9 @@ def _links_of(rows: DataFrame, width: int, percent: int, orders: int, frequent:
     shared = sc.broadcast((*_frequent(repeats, frequent), counts))
     total = members.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0)).alias("rows")).first().rows
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_ROWS))
-    cells = connected_components(chained(texts, _first_order(shared, percent, width), percent, buckets), "near-cells")
+    cells = connected_components(chained(texts, _first_order(shared, percent, width), percent, buckets, shared), "near-cells")
     cells = materialize(cells.withColumnRenamed("root", "cell"), "near-cells")
-    sets = alive_sets(texts, _later_filters(shared, percent, width, orders), sc.broadcast(bitmap(cells)), whole=False)
+    sets = alive_sets(texts, _later_filters(shared, percent, width, orders), sc.broadcast(bitmap(cells)), shared, whole=False)
     for order in range(1, orders):
         mine = sets.select("node", "n", "filters").join(cells.select("node"), "node", "left_semi")
         found = connected_components(chained(mine, _later_order(order, orders), percent, buckets), "near-cells")
@@ -670,7 +681,7 @@ def _links_of(rows: DataFrame, width: int, percent: int, orders: int, frequent:
         cells = materialize(both.join(names, ["cell", "root"]).select("node", F.col("least").alias("cell")), "near-cells")
     classes = members.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("times"))
     filtered = _all_filters(shared, percent, width, orders)
-    found = links_of_cells(sets, lambda alive: alive_sets(texts, filtered, alive), classes, cells, percent, 0, orders)
+    found = links_of_cells(sets, lambda alive: alive_sets(texts, filtered, alive, shared), classes, cells, percent, 0, orders)
     roots = connected_components(found.filter("b is not null"), "near-links")
     degrees = found.filter("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     return Linked(members, classes, roots, degrees)

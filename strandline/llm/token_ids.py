@@ -504,13 +504,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     id_arrow, arrow = to_arrow_type(id_type), [to_arrow_type(f.dataType) for f in fields]
     schema = T.StructType([T.StructField(id_col, id_type), *fields])
     middle = T.StructType([T.StructField("row_id", id_type), T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))), T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("doc", T.BinaryType()), T.StructField("anew", T.BooleanType())])
-    whole = wide_tasks(texts).mapInArrow(releasing(listed), middle)
+    whole = wide_tasks(texts).mapInArrow(releasing(listed, shared), middle)
     merged = F.zip_with("words", "long", lambda w, ids: F.coalesce(ids, F.when(F.size(w) > 0, RankMap(ranks).fold(w))))
     if make.decodes:
         merged = F.transform(merged, lambda ids: F.struct(ids.alias("ids"), _decoded(ids, ranks).alias("bytes")))
     folded = whole.select("row_id", F.when(F.col("words").isNotNull(), merged).alias("ids"), "doc", "anew")
     with batches_of(spark, BATCH_ROWS):
-        return materialize(folded.mapInArrow(releasing(joined), schema), "token-ids")
+        return materialize(folded.mapInArrow(releasing(joined, shared), schema), "token-ids")
 
 
 def _byte_lists(words: list[bytes]) -> pa.ListArray:

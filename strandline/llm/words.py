@@ -45,6 +45,11 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Drop the tables of powers, which grow with the longest block and are soon made again."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: a bijection of 64-bit words."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
