@@ -139,8 +139,9 @@ def _shared_anchors(docs: DataFrame, run: int, gram: int, buckets: int) -> np.nd
     dealt = docs.mapInArrow(releasing(deal), "bucket int, anchor binary, key binary")
     slices = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(releasing(meet), "bucket int, bits binary")
     out, size = np.zeros(1 << (MAP_BITS - 3), np.uint8), 1 << (MAP_BITS - 3 - bits)
-    for r in slices.toLocalIterator():
-        out[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    found = slices.toArrow()  # no more than the map holds, in one job; an iterator would take one for each partition
+    for bucket, own in zip(found["bucket"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[bucket * size : (bucket + 1) * size] = np.frombuffer(own, np.uint8)
     return out
 
 
