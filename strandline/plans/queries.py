@@ -80,8 +80,9 @@ class Tables(Views):
     def histories(self) -> DataFrame:
         return H.history_vectors(self.by_tag(), self.sent())
 
-    def similar(self) -> DataFrame:
-        known = L.valid_ids(self.merged()).select(F.col("resume_id").alias("resumeid"))
+    def similar(self, samples: DataFrame | None = None) -> DataFrame:
+        """Match features of the resumes that have samples. These have the ids of the merge's rows, which needn't be computed again if given."""
+        known = (L.valid_ids(self.merged()) if samples is None else samples).select(F.col("resume_id").alias("resumeid"))
         both = self.delivery_matches().select("resumeid").join(self.download_matches().select("resumeid").distinct(), "resumeid", "left_semi")
         return X.similar_resume_data(X.match_statistics(self.delivery_matches()), X.match_statistics(self.download_matches()), known.join(both.distinct(), "resumeid", "left_semi"))
 
@@ -143,19 +144,23 @@ def _time_logistic(train: DataFrame, gamma: float = 0.0) -> M.Model:
 
 
 def _match_logistic(time: bool, leaves: bool = False):
-    """Neighbour-regularised models: on features, or on the leaves of a forest, which then encode the neighbours too."""
+    """Neighbour-regularised models: on features, or on the leaves of a forest, which then encode the neighbours too.
+
+    Samples, match features and the samples with their neighbours are stored, so that no plan holds another.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = Tables(spark, sf_dir)
-        train, test = L.date_split(t.samples().persist(), DIVIDER)
-        near = G.nearest_in_day(t.similar(), X.feature_names()[12:])
+        samples = M.few_tasks(t.samples())
+        train, test = L.date_split(samples, DIVIDER)
+        near = G.nearest_in_day(M.stored(t.similar(samples)), X.feature_names()[12:])
         if leaves:
             encode = M.leaf_encoder(E.undersample(train, ["resume_id", "date"]))
             train, test = encode(train), encode(test)
         vectors = train.select(F.col("resume_id").alias("neighbour"), "date", M.sparse().alias("x"))
         how = "inner" if time else "left"
         found = near.join(vectors, ["neighbour", "date"], how).groupBy("resumeid", "date").agg(F.collect_list("x").alias("neighbours"))
-        train = train.join(found.withColumnRenamed("resumeid", "resume_id"), ["resume_id", "date"], how).persist()
+        train = M.stored(train.join(found.withColumnRenamed("resumeid", "resume_id"), ["resume_id", "date"], how))
         train = E.undersample(train, ["resume_id", "date"])
         train = E.time_weights(train) if time else train
         model = M.Descent(match=0.1).model(train, weight="weight" if time else None)

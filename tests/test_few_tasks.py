@@ -28,6 +28,20 @@ def test_no_shuffle_beneath_training(spark, monkeypatch, name, fit):
     assert "Shuffle" not in train._jdf.queryExecution().toRdd().toDebugString()
 
 
+def test_no_plan_beneath_neighbours(spark, monkeypatch):
+    """Else what is persisted on each step stands several times in every plan of the next, and descriptions fill the driver."""
+
+    def seen(_, train, **__):
+        raise Seen(train)
+
+    monkeypatch.setattr(M.Descent, "model", seen)
+    with pytest.raises(Seen) as found:
+        QUERIES["ml18_time_match_lr"](spark, SF)
+    train = found.value.args[0]
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "neighbours" in train.columns and len(plan.splitlines()) < 100 and "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def test_deep_forests_keep_node_ids(monkeypatch):
     """Else every level sends all trees to all tasks, which walk each row down from the roots."""
 
